@@ -1,0 +1,4 @@
+"""No streaming operators: every input of this workflow is a closed file.
+
+Weeks are batch tumbling windows (see ``functions.calendar.week_number``).
+"""
