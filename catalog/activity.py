@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog import base_sql as b
-from catalog.registry import big, ctes, num, query, when
+from catalog.registry import big, ctes, query, when
 from sessionlens.functions import calendar, content
 from sessionlens.functions.activity import activity_code
 from sessionlens.operators import activity, ordering
@@ -150,5 +150,3 @@ def session_sink(s):
     return stage(s.session_table(), "merged").groupBy("week").agg(
         F.count(F.lit(1)).alias("sessions"), F.max("n_allact").alias("largest"), F.sum("insider").alias("insider_sum"))
 
-
-del num

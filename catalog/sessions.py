@@ -53,9 +53,16 @@ numbered AS (SELECT *, CAST(week AS BIGINT) * 100000 + row_number() OVER (PARTIT
   CASE WHEN fin = 0 THEN 1 ELSE 0 END, CASE WHEN fin = 0 THEN t0 ELSE clo END, t0, pcid, seq) - 1 AS sessionid
   FROM spanned WHERE uint >= 0)"""
 _order = sessions.SESSION_COLUMNS
+
+
+def exact(column: str) -> str:
+    """The same column without the rounding of the output form."""
+    return column.replace("ROUND(CAST(", "(CAST(", 1).replace(", 6) + 0.0 AS", ") AS")
+
+
 _plain = {c.rsplit('AS "', 1)[1][:-1]: c for c in [*SCALARS, *feature_sql()]}
 SESSION_SQL = f"""agg AS (
-  SELECT week, usr, pcid, seq, uint, {', '.join(_plain.values())},
+  SELECT week, usr, pcid, seq, uint, {', '.join(exact(c) for c in _plain.values())},
          {big('max(CASE WHEN isnew = 1 THEN pc END)', 'pc')},
          {big('CASE WHEN sum(mal_act) > 0 THEN max(insider) ELSE 0 END', 'insider')}
   FROM sess WHERE uint >= 0 GROUP BY week, usr, pcid, seq, uint),
@@ -109,6 +116,7 @@ def session_ids(s: Shapes):
     return sessions.session_ids(spans, bound=s.weeks).select(*sessions.SESSION_ID, "sessionid")
 
 
-@query("session_table", ctes(*SESSIONS) + " SELECT " + ", ".join(f'"{c}"' for c in _order) + " FROM session_rows")
+@query("session_table", ctes(*SESSIONS) + " SELECT " + ", ".join(
+    num(f'"{c}"', c) if "ROUND" in _plain.get(c, "") or c in sessions.USER_COLUMNS[6:] else f'"{c}"' for c in _order) + " FROM session_rows")
 def session_table(s: Shapes):
     return s.session_table()

@@ -10,6 +10,7 @@ from sessionlens.functions.activity import CONNECT, EMAIL, FILE, HTTP, LOGOFF, L
 from sessionlens.operators import ordering
 from sessionlens.operators.activity import AXIS, SESSION_KEYS, usb_durations
 from sessionlens.operators.ordering import LAST, SLICE, Sliced
+from sessionlens.session import stage
 
 # Activity groups with their measured columns, counted values and sub-groups.
 FILE_GROUPS = ["otherf", "compf", "phof", "docf", "txtf", "exef"]
@@ -297,8 +298,10 @@ def session_table(rows: DataFrame, users: DataFrame, pairs: DataFrame, limit: in
     first = F.col("first_row") == 1
     grouped = known.groupBy(*SESSION_ID, "user_int").agg(
         *aggs, *scalar_aggregates(), F.max(F.when(first, F.col("pc"))).alias("pc"), label_aggregate().alias("insider"))
-    overlaps = concurrency(grouped.select(*SESSION_ID, "_from", "_to"), limit, rows)
-    whole = session_ids(grouped.join(overlaps, SESSION_ID), limit, rows)
+    # read three times below; 128 numbers per session are far smaller than the rows behind them
+    grouped = stage(grouped, "session-parts")
+    overlaps = concurrency(grouped.select(*SESSION_ID, "_from", "_to"), limit, grouped)
+    whole = session_ids(grouped.join(overlaps, SESSION_ID), limit, grouped)
     static = users.select(
         "user", *[F.col(f"{c}_code").alias(c) for c in USER_COLUMNS[:5]], "ITAdmin", "O", "C", "E", "A", "N")
     flat = whole.select(
