@@ -42,13 +42,16 @@ class Shapes:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # --- events as logs ---------------------------------------------------------------------
 
-    @property
+    @cached_property
     def events(self) -> DataFrame:
         kind = F.col("event_type")
         log = (
@@ -72,7 +75,7 @@ class Shapes:
             log.alias("log"), name.alias("activity"), "value", k.alias("k"), F.length("props").alias("n"),
         )
 
-    @property
+    @cached_property
     def web(self) -> DataFrame:
         url = F.col("url")
         for number, host in HOSTS.items():
@@ -81,7 +84,7 @@ class Shapes:
         text = F.regexp_replace("html", "[\\r\\n]+", " ")
         return self.table("pages").select("page_id", url.alias("url"), text.alias("content"))
 
-    @property
+    @cached_property
     def files(self) -> DataFrame:
         exts = F.array(*[F.lit(e) for e in EXTENSIONS])
         ext = F.get(exts, (F.col("p_partkey") % 15).cast("int"))
@@ -92,7 +95,7 @@ class Shapes:
             F.when(F.col("p_partkey") % 11 != 0, F.col("p_type")).alias("content"),
         )
 
-    @property
+    @cached_property
     def mails(self) -> DataFrame:
         suppliers = self.table("supplier").select("s_suppkey", "s_nationkey")
         host = F.when(F.col("s_nationkey") < 12, "@dtaa.com").otherwise("@ext.org")
@@ -215,9 +218,13 @@ class Shapes:
 
     # --- rows and sessions --------------------------------------------------------------------
 
-    def rows(self) -> DataFrame:
+    @cached_property
+    def _rows(self) -> DataFrame:
         return activity.row_features(self.weeks)
 
+    def rows(self) -> DataFrame:
+        return self._rows
+
     def known_rows(self) -> DataFrame:
         """Rows with their user and label columns and session numbers."""
         numbered = sessions.with_sessions(self.rows())

@@ -60,46 +60,38 @@ def feature_columns(full: bool = False) -> list[str]:
 SESSION_COLUMNS = [*BASE_COLUMNS, *USER_COLUMNS, *feature_columns(), "insider"]
 
 
-def _where(condition: dict[str, int]) -> Column | None:
-    out = None
-    for c, v in condition.items():
-        test = F.col(c) == v
-        out = test if out is None else out & test
-    return out
-
-
 def feature_aggregates(full: bool = False) -> tuple[list[Column], list[Column]]:
     """Aggregates of one ``groupBy`` and the projection that turns them into features.
 
     Means are kept as sum and count so that the count of a group is held once, and every buffer is
-    a plain number: the aggregation stays a code-generated hash aggregate with map-side combine.
+    a plain number: the aggregation stays a hash aggregate with map-side combine. The expressions
+    are written as SQL text, one call each, because there are several hundred of them.
     """
     aggs, outs = [], []
     for block, group, condition, measures, counted in _groups():
         count, prefix = _names(block, group)
-        test = _where(condition)
+        tests = [f"{c} = {v}" for c, v in condition.items()]
 
-        def picked(c: Column, test=test) -> Column:
-            return c if test is None else F.when(test, c)
+        def picked(value: str, *extra: str, tests=tests) -> str:
+            test = " AND ".join([*tests, *extra])
+            return f"IF({test}, {value}, NULL)" if test else value
 
-        aggs.append(F.count(picked(F.lit(1))).alias(count))
-        outs.append(F.col(count))
+        aggs.append(f"count({picked('1')}) AS `{count}`")
+        outs.append(f"`{count}`")
         for m in measures:
-            value = picked(F.col(m))
-            aggs.append(F.sum(value).alias(f"{prefix}_sum_{m}"))
+            aggs.append(f"sum({picked(m)}) AS `{prefix}_sum_{m}`")
             if full:
-                aggs += [F.min(value).alias(f"{prefix}_min_{m}"), F.max(value).alias(f"{prefix}_max_{m}"),
-                         F.median(value).alias(f"{prefix}_med_{m}"), F.stddev_pop(value).alias(f"{prefix}_std_{m}")]
-            mean = F.try_divide(F.col(f"{prefix}_sum_{m}"), F.col(count))
+                functions = {"min": "min", "max": "max", "med": "median", "std": "stddev_pop"}
+                aggs += [f"{f}({picked(m)}) AS `{prefix}_{s}_{m}`" for s, f in functions.items()]
             for s in STATISTICS if full else ["mean"]:
-                source = mean if s == "mean" else F.col(f"{prefix}_{s}_{m}")
-                outs.append(F.coalesce(source.cast("double"), F.lit(0.0)).alias(f"{prefix}_{s}_{m}"))
+                source = f"try_divide(`{prefix}_sum_{m}`, `{count}`)" if s == "mean" else f"`{prefix}_{s}_{m}`"
+                outs.append(f"coalesce(double({source}), 0D) AS `{prefix}_{s}_{m}`")
         for c, values in counted.items():
             for v in values:
                 name = f"{prefix}_n-{c}{v}"
-                aggs.append(F.count(picked(F.when(F.col(c) == v, 1))).alias(name))
-                outs.append(F.col(f"`{name}`"))
-    return aggs, outs
+                aggs.append(f"count({picked('1', f'{c} = {v}')}) AS `{name}`")
+                outs.append(f"`{name}`")
+    return [F.expr(a) for a in aggs], [F.expr(o) for o in outs]
 
 
 def session_features(rows: DataFrame, keys: list[str], full: bool = False) -> DataFrame:
