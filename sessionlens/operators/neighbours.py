@@ -160,8 +160,9 @@ def _across_blocks(visits: DataFrame, blocked: DataFrame, k: int, block_rows: in
     crowds = visits.groupBy(*slot).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
     # one row per block, i.e. rows / block_rows: left to the size seen at run time
     guests = visits.join(crowds, slot).withColumn("part", _block_of("id", F.col("parts")))
-    hosts = blocked.select(*slot, "id", "x").join(crowds, slot).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    copies = crowds.select(*[F.col(c).alias(c) for c in slot], F.col("parts").alias("copies"))
+    hosts = blocked.select(*[F.col(c).alias(c) for c in slot], F.col("id").alias("id"), F.col("x").alias("x")).join(
+        copies, slot).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     top = _top(k)
 
     def search(left, right):
