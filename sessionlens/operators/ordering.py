@@ -280,45 +280,52 @@ def cut_points(
 
     ``targets`` are expressions over ``_n``, the group size. A row belongs to the first ``target``
     rows exactly when its key is not above the returned one (null for a target below 1). Only
-    counts per bucket are shuffled; the single bucket holding a cut is the only one sorted.
+    counts per bucket are shuffled; the single bucket holding a cut is the only one sorted. The
+    result has one row per group and is stored, so every use sees the same cut.
     """
-    groups = list(groups) or ["_all"]
-    base = df if groups != ["_all"] else df.withColumn("_all", F.lit(0))
-    base = base.select(
-        *groups, axis.coarse.alias(_COARSE), axis.fine.alias(_FINE), axis.key.alias("_key")
-    )
-
-    def crossing(counts: DataFrame, part: list[str], bucket: str) -> DataFrame:
-        upto = Window.partitionBy(*part).orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
-        after = F.sum("_n").over(upto)
-        return (
-            counts.withColumn("_upto", after)
-            .withColumn("_from", F.col("_upto") - F.col("_n"))
-            .where((F.col("_from") < F.col("_need")) & (F.col("_need") <= F.col("_upto")))
-            .withColumn("_need", F.col("_need") - F.col("_from"))
-        )
-
-    coarse = base.groupBy(*groups, _COARSE).agg(F.count(F.lit(1)).alias("_n"))
-    named = F.explode(F.map_from_arrays(
-        F.array(*[F.lit(t) for t in targets]),
-        F.array(*[F.coalesce(t, F.lit(0)).cast("long") for t in targets.values()]),
-    )).alias("_target", "_need")
-    sizes = coarse.groupBy(*groups).agg(F.sum("_n").alias("_n"))
-    wanted = sizes.select(*groups, named)
-    hit = crossing(coarse.join(F.broadcast(wanted), groups), [*groups, "_target"], _COARSE).select(
-        *groups, "_target", _COARSE, "_need"
-    )
+    names = list(groups) or ["_all"]
+    base = df if groups else df.withColumn("_all", F.lit(0))
+    base = base.select(*names, axis.coarse.alias(_COARSE), axis.fine.alias(_FINE), axis.key.alias("_key"))
+
+    def crossing(counts: DataFrame, bucket: str) -> DataFrame:
+        """The bucket in which the running count reaches what is needed, and how much is left in it."""
+        upto = Window.partitionBy(*names, "_target").orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+        reached = counts.withColumn("_upto", F.sum("_c").over(upto))
+        before = F.col("_upto") - F.col("_c")
+        hit = reached.where((before < F.col("_need")) & (F.col("_need") <= F.col("_upto")))
+        return hit.select(*names, "_target", bucket, (F.col("_need") - before).alias("_need"))
+
+    per_group = Window.partitionBy(*names)
+    coarse = base.groupBy(*names, _COARSE).agg(F.count(F.lit(1)).alias("_c")).withColumn("_n", F.sum("_c").over(per_group))
+    wanted = F.array(*[
+        F.struct(F.lit(t).alias("_target"), F.coalesce(n, F.lit(0)).cast("long").alias("_need")) for t, n in targets.items()])
+    hit = crossing(coarse.select(*names, _COARSE, "_c", F.inline(wanted)), _COARSE)
+    # one row per group and target
     fine = (
-        base.join(F.broadcast(hit), [*groups, _COARSE])
-        .groupBy(*groups, "_target", _COARSE, "_need", _FINE)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        base.join(F.broadcast(hit), [*names, _COARSE])
+        .groupBy(*names, "_target", _COARSE, "_need", _FINE)
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    hit = crossing(fine, [*groups, "_target"], _FINE).select(*groups, "_target", _FINE, "_need")
-    edge = base.join(F.broadcast(hit), [*groups, _FINE]).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*groups, "_target", _FINE).orderBy("_key"))
+    hit = crossing(fine, _FINE)
+    edge = base.join(F.broadcast(hit), [*names, _FINE]).withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(*names, "_target", _FINE).orderBy("_key"))
     )
-    edge = edge.where(F.col("_rank") == F.col("_need"))
-    found = edge.groupBy(*groups).agg(
+    found = edge.where(F.col("_rank") == F.col("_need")).groupBy(*names).agg(
         *[F.max(F.when(F.col("_target") == name, F.col("_key"))).alias(name) for name in targets]
     )
-    return found.drop("_all") if groups == ["_all"] else found
+    return stage(found if groups else found.drop("_all"), "cut-points")
+
+
+def among_first(df: DataFrame, axis: Axis, targets: dict[str, Column]) -> dict[str, Column]:
+    """For each target count, the test whether a row is among the first that many of the table.
+
+    The cut is a single sort key and enters the plan as a literal.
+    """
+    row = cut_points(df, [], axis, targets).first()
+    tests = {}
+    for name in targets:
+        key = None if row is None else row[name]
+        limit = None if key is None else F.struct(*[
+            F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(axis.by, key)])
+        tests[name] = F.lit(False) if limit is None else axis.key <= limit
+    return tests

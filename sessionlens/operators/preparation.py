@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.functions.scalars import clean_numeric, signed_log
+from sessionlens.session import stage
 
 # Columns that identify rather than describe, and columns dropped on request.
 IDENTIFIERS = ["insider", "starttime", "endtime", "sessionid", "user", "day", "week"]
@@ -180,15 +181,21 @@ def scale_positions(df: DataFrame, train: DataFrame, vector: str, positions: Seq
 def frequency_encode(df: DataFrame, train: DataFrame, columns: Sequence[str], floor: float = RARE_FREQUENCY) -> DataFrame:
     """Share of a value in the training part, at least ``floor``; unseen values get ``floor``.
 
-    The lookup has one row per distinct value; its join strategy is left to the size seen at run time.
+    All columns are counted in one pass over the training part. The counts are stored, so the size
+    of each lookup is known and Spark broadcasts only those that fit.
     """
-    total = train.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    out = df
-    for c in columns:
-        seen = train.groupBy(column(c).alias(c)).agg(F.count(F.lit(1)).alias("_n")).where(column(c).isNotNull())
-        out = out.join(seen, c, "left").withColumn(
-            c, F.coalesce(F.greatest(F.col("_n") / total, F.lit(floor)), F.lit(floor))).drop("_n")
-    return out
+    values = F.array(*[column(c).cast("string") for c in columns])
+    counts = stage(
+        train.select(F.posexplode(values).alias("pos", "value")).groupBy("pos", "value").agg(F.count(F.lit(1)).alias("n")),
+        "frequencies")
+    total = counts.where(F.col("pos") == 0).agg(F.sum("n").cast("double").alias("n")).scalar()
+    out = df.withColumn("_total", total)
+    for i, c in enumerate(columns):
+        seen = counts.where((F.col("pos") == i) & F.col("value").isNotNull()).select(
+            F.col("value").alias("_value"), F.col("n").alias("_n"))
+        share = F.coalesce(F.greatest(F.col("_n") / F.col("_total"), F.lit(floor)), F.lit(floor))
+        out = out.join(seen, column(c).cast("string") == F.col("_value"), "left").withColumn(c, share).drop("_value", "_n")
+    return out.drop("_total")
 
 
 def levels(train: DataFrame, name: str, most: int = 1000) -> list:

@@ -35,12 +35,12 @@ def draw(
     wanted = size.cast("long")
     if strict:
         wanted = F.when(wanted > F.col("_n"), F.raise_error(F.lit("sample larger than its class"))).otherwise(wanted)
-    cuts = ordering.cut_points(hashed, groups, axis, {"_cut": F.least(wanted, F.col("_n"))})
-    if groups:
-        joined = hashed.join(F.broadcast(cuts), list(groups))
-    else:
-        joined = hashed.withColumn("_cut", cuts.select("_cut").scalar())
-    return joined.where(axis.key <= F.col("_cut")).drop(HASH, "_cut").select(*[F.col(f"`{c}`") for c in df.columns])
+    target = {"_cut": F.least(wanted, F.col("_n"))}
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if not groups:
+        return hashed.where(ordering.among_first(hashed, axis, target)["_cut"]).select(*columns)
+    cuts = ordering.cut_points(hashed, groups, axis, target)
+    return hashed.join(F.broadcast(cuts), list(groups)).where(axis.key <= F.col("_cut")).select(*columns)
 
 
 def undersample(df: DataFrame, label: str, row_id: str, targets: dict[int, int], strict: bool = True) -> DataFrame:
@@ -84,10 +84,9 @@ def hard_negatives(
     """All positives, the negatives the gate suspects, and a random share of all negatives."""
     hashed, axis = hash_order(df, row_id)
     negative = F.col(label) == 0
-    cuts = ordering.cut_points(
-        hashed.where(negative), [], axis, {"_cut": F.floor(F.col("_n") * F.lit(share)).cast("long")})
+    part = {"share": F.floor(F.col("_n") * F.lit(share)).cast("long")}
     limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    picked = F.coalesce(axis.key <= cuts.select("_cut").scalar(), F.lit(False))
+    picked = ordering.among_first(hashed.where(negative), axis, part)["share"]
     keep = ~negative | (F.col(probability) >= limit) | picked
     return hashed.where(keep).drop(HASH)
 
@@ -125,7 +124,8 @@ def synthetic_rows(
 
     Rows are used in hash order, round after round; round r uses neighbour 1 + r mod k. A class
     that takes part has fewer rows than its target, which is a parameter, so the neighbour search
-    and the numbering below are bounded by the targets and not by the table.
+    and the numbering below are bounded by the targets and not by the table. A class of a single
+    row has no neighbour and stays as it is.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_m"))
     target = F.lit(None).cast("long")
@@ -142,7 +142,7 @@ def synthetic_rows(
     copies = F.ceil((F.col("_need") - F.col("_r")) / F.col("_m"))
     planned = ranked.where(F.col("_need") > F.col("_r")).withColumn(
         "copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    planned = planned.withColumn("nn_rank", F.col("copy") % F.least(F.lit(k), F.col("_m") - 1) + 1)
+    planned = planned.withColumn("nn_rank", F.col("copy") % F.greatest(F.least(F.lit(k), F.col("_m") - 1), F.lit(1)) + 1)
     near = nearest_in_class(pool, label, row_id, vector, k).select(row_id, "nn_rank", "nn_id")
     partner = pool.select(F.col(row_id).alias("nn_id"), F.col(vector).alias("_nn"))
     step = uniform(digest(F.col(row_id), tag=F.col("copy")))

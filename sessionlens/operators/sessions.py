@@ -145,7 +145,7 @@ def _mark(sliced: Sliced) -> Sliced:
     return sliced.of(started.withColumn("_seq", F.sum("_new").over(upto)).drop("_offs", "_base"))
 
 
-def sessionize(sliced: Sliced) -> DataFrame:
+def sessionize(sliced: Sliced) -> Sliced:
     """Give every row its session number inside (week, user, computer).
 
     A logoff closes the open session, a logon always starts one, and any other row (a logoff too)
@@ -165,18 +165,19 @@ def sessionize(sliced: Sliced) -> DataFrame:
         marked = _mark(sliced)
     numbered = ordering.with_next(marked, F.struct("act", "time_stamp"), "_after").df
     by_logon = F.col("_after.act") == LOGON
-    return numbered.withColumns({
+    return sliced.of(numbered.withColumns({
         "session_seq": number,
         "first_row": F.col("_new"),
         "_end": F.when(F.col("_closed"), 1).when(by_logon, 2).otherwise(0),
         "_close": F.when(F.col("_closed"), F.col("time_stamp")).when(by_logon, F.col("_after.time_stamp")),
-    }).drop("_closed", "_new", "_seq", "_run_in", "_opened_in", "_earlier", "_after")
+    }).drop("_closed", "_new", "_seq", "_run_in", "_opened_in", "_earlier", "_after"))
 
 
 def with_sessions(rows: DataFrame, limit: int | None = None, usb: bool = True) -> DataFrame:
-    """USB durations and session numbers; both share one shuffle."""
-    sliced = ordering.with_slices(rows, SESSION_KEYS, AXIS, limit)
-    return sessionize(usb_durations(sliced) if usb else sliced).drop(SLICE, LAST)
+    """Session numbers and USB durations. Sessions come first: their partitioning also serves the
+    finer one of the device rows (and the aggregation per session), so there is one shuffle."""
+    numbered = sessionize(ordering.with_slices(rows, SESSION_KEYS, AXIS, limit))
+    return (usb_durations(numbered) if usb else numbered).df.drop(SLICE, LAST)
 
 
 # --- one row per session ------------------------------------------------------------------------
@@ -292,8 +293,11 @@ def session_table(rows: DataFrame, users: DataFrame, pairs: DataFrame, limit: in
         *aggs, *scalar_aggregates(), F.max(F.when(first, F.col("pc"))).alias("pc"), label_aggregate().alias("insider"))
     # read three times below; 128 numbers per session are far smaller than the rows behind them
     grouped = stage(grouped, "session-parts")
-    overlaps = concurrency(grouped.select(*SESSION_ID, "_from", "_to"), limit, grouped)
-    whole = session_ids(grouped.join(overlaps, SESSION_ID), limit, grouped)
+    narrow = grouped.select(*SESSION_ID, "user_int", "_from", "_to", "end_with", "_close")
+    overlaps = concurrency(narrow, limit, grouped)
+    ids = session_ids(narrow, limit, grouped).select(*SESSION_ID, "sessionid")
+    # only here the wide rows move, once
+    whole = grouped.join(overlaps, SESSION_ID).join(ids, SESSION_ID)
     static = users.select(
         "user", *[F.col(f"{c}_code").alias(c) for c in USER_COLUMNS[:5]], "ITAdmin", "O", "C", "E", "A", "N")
     flat = whole.select(

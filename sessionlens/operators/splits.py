@@ -16,23 +16,13 @@ def share(of: Column, part: float) -> Column:
     return F.floor(of * F.lit(part)).cast("long")
 
 
-def first_rows(df: DataFrame, axis: ordering.Axis, targets: dict[str, Column]) -> dict[str, Column]:
-    """For each target count, whether a row is among the first that many rows of the whole table.
-
-    The cut is one sort key found from bucket counts, so nothing is sorted or shuffled as a whole.
-    """
-    cuts = ordering.cut_points(df, [], axis, targets)
-    row = cuts.select(F.struct(*targets).alias("cuts")).scalar()
-    return {name: F.coalesce(axis.key <= row.getField(name), F.lit(False)) for name in targets}
-
-
 def time_user_split(
     df: DataFrame, label: str = "insider", user: str = "user", axis: ordering.Axis = SESSION_AXIS
 ) -> DataFrame:
     """80 % past, 20 % future by time, the past again 80/20 into train and val. Users that showed
     an incident in the past are taken out of the future, which becomes the test part."""
     past_size = share(F.col("_n"), 0.8)
-    within = first_rows(df, axis, {"past": past_size, "train": share(past_size, 0.8)})
+    within = ordering.among_first(df, axis, {"past": past_size, "train": share(past_size, 0.8)})
     part = F.when(within["train"], "train").when(within["past"], "val").otherwise("test")
     marked = df.withColumn("split", part)
     known = marked.where((F.col("split") != "test") & (F.col(label) != 0)).select(user).distinct()
@@ -42,7 +32,7 @@ def time_user_split(
 
 def time_split(df: DataFrame, axis: ordering.Axis = SESSION_AXIS, train: float = 0.64, val: float = 0.80) -> DataFrame:
     """Three parts by time: up to ``train``, up to ``val`` and the rest."""
-    within = first_rows(df, axis, {"train": share(F.col("_n"), train), "val": share(F.col("_n"), val)})
+    within = ordering.among_first(df, axis, {"train": share(F.col("_n"), train), "val": share(F.col("_n"), val)})
     return df.withColumn("split", F.when(within["train"], "train").when(within["val"], "val").otherwise("test"))
 
 
