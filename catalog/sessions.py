@@ -36,7 +36,6 @@ def hour(e: str) -> str:
     return f"hour({e}) + minute({e}) / 60.0"
 
 
-_first = "arg_min({0}, actid_ts)"
 SCALARS = [
     num("epoch(min(ts))", "starttime"), num("epoch(max(ts))", "endtime"), big("max(CASE WHEN isnew = 1 THEN day END)", "day"),
     *[num(f"count(*) FILTER (WHERE time = {i}) / CAST(count(*) AS DOUBLE)", n)

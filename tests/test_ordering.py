@@ -3,9 +3,7 @@
 import datetime as dt
 import random
 
-import pandas as pd
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessionlens.operators import ordering as o
