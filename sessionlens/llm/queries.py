@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import bpe, rules, sharding
-from sessionlens.llm.common import table
+from sessionlens.llm import bpe, fingerprints, language, near_dups, packing, quality, rules, sharding
+from sessionlens.llm.common import fold, table
 from sessionlens.llm.registry import query
 
 
@@ -84,3 +87,61 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def piece_digests(pieces: pa.RecordBatch) -> pa.RecordBatch:
+    """Pieces with their length and the crc32 of their ids in place of the ids."""
+    ids = pieces.column("ids")
+    at = ids.offsets.to_numpy()
+    raw = memoryview(ids.values.to_numpy().astype("<u4").tobytes())
+    sums = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at.tolist(), at[1:].tolist())]
+    columns = {
+        "doc_id": pieces.column("doc_id"), "start": pieces.column("start"), "length": pa.array(at[1:] - at[:-1], pa.int64()),
+        "ids_crc32": pa.array(sums, pa.int64()), "doc_tokens": pieces.column("doc_tokens"),
+        "sequence_id": pieces.column("sequence_id"), "offset": pieces.column("offset"),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed(docs, tokenizer("word_bpe_49k.json"), finish=piece_digests, schema=PIECES)
+
+
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_dups.near_duplicates(near_dups.simhash(docs, words=3), bits=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_fingerprints")
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    as_text = lambda name: F.lower(F.hex(name)).alias(name)
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("fingerprint"),
+        as_text("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
+@query("op4_quality")
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, fold(F.col("doc_id"), 3) != 1)
+    scored = quality.classify(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", "predicted")
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = language.fit(docs, fold(F.col("doc_id"), 4) != 2)
+    found = language.identify(docs.select("doc_id", "text"), filters)
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
