@@ -142,7 +142,8 @@ def place(value: Column, bounds: list) -> Column:
     inner = F.array(*(F.array(*(F.lit(x) for x in b)) for b in blocks))
     below = lambda items: F.size(F.filter(items, lambda x: x < value))
     block = below(heads)
-    return F.coalesce(block * 32 + F.coalesce(below(F.get(inner, block)), F.lit(0)), F.lit(0)).cast("int")
+    found = F.least(block * 32 + F.coalesce(below(F.get(inner, block)), F.lit(0)), F.lit(len(bounds)))
+    return F.when(value.isNull(), 0).otherwise(found).cast("int")
 
 
 def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,15 +155,16 @@ def with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     spark = df.sparkSession
     parts = partitions(spark)
     shares = [k / parts for k in range(1, parts)] or [0.5]
-    found = df.agg(F.percentile_approx(doc_id, shares, max(10_000, 20 * parts)).alias("at"), F.max(doc_id).alias("top")).first()
+    df = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    found = df.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * parts)).alias("at"), F.max("doc_id").alias("top")).first()
     bounds = sorted({x for x in found["at"] or [] if x < found["top"]})
-    own = place(F.col(doc_id), bounds)
+    own = place(F.col("doc_id"), bounds)
     at = {b: i + 1 for i, b in enumerate(bounds)} | {found["top"]: 0}
-    again = F.element_at(F.create_map(*(F.lit(x) for pair in at.items() for x in pair)), F.col(doc_id)) if found["top"] is not None else F.lit(0)
+    again = F.element_at(F.create_map(*(F.lit(x) for pair in at.items() for x in pair)), F.col("doc_id")) if found["top"] is not None else F.lit(0)
     copies = F.when(again.isNull(), F.array(F.struct(own.alias("part"), F.lit(False).alias("tail")))).otherwise(
         F.array(F.struct(own.alias("part"), F.lit(False).alias("tail")), F.struct(again.cast("int").alias("part"), F.lit(True).alias("tail")))
     )
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.explode(copies).alias("_at")).select("_at.part", "_at.tail", "doc_id", "text")
+    rows = df.select("doc_id", "text", F.explode(copies).alias("_at")).select("_at.part", "_at.tail", "doc_id", "text")
     return rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "text")
 
 

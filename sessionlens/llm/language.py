@@ -48,7 +48,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def slots_of(codes: np.ndarray) -> list[np.ndarray]:
-    return [(mix(codes + np.uint64(1 + k) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(SLOTS)).astype(np.int64) for k in range(HASHES)]
+    offsets = [np.uint64((1 + k) * 0x9E3779B97F4A7C15 % 2**64) for k in range(HASHES)]
+    return [(mix(codes + offset) % np.uint64(SLOTS)).astype(np.int64) for offset in offsets]
 
 
 class Filters:
