@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlens.llm.common import add_columns, field, partitions
+from sessionlens.llm.common import add_columns, field, mix, partitions
 from sessionlens.session import stage
 
 SEED = 42
@@ -120,8 +120,17 @@ def bucket_links(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def link_level(members: DataFrame, bits: int, level: int) -> DataFrame:
+def bucket_nearest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """(nearest, other) for every member that has an earlier member within ``bits``."""
+    apart = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(np.int64)
+    apart[np.triu_indices(len(fps))] = 65
+    best = apart.argmin(axis=1)
+    return [(int(best[i]), i) for i in range(1, len(fps)) if apart[i, best[i]] <= bits]
+
+
+def link_level(members: DataFrame, bits: int, level: int, reach: int, nearest: bool) -> DataFrame:
     """From (bucket, fp) rows: links (kind 0: a, b) and members of large buckets (kind 1: bucket, fp)."""
+    join = bucket_nearest if nearest else bucket_links
     masks = cut_masks(bits, level)
     struck = np.array([b for _, b in masks], dtype=np.int64)
     literal = "array(" + ",".join(f"{signed(m)}L" for m, _ in masks) + ")"
@@ -174,11 +183,11 @@ def link_level(members: DataFrame, bits: int, level: int) -> DataFrame:
         for k in np.flatnonzero(big):
             yield rows(1, key[starts[k] : starts[k] + sizes[k]], fp[starts[k] : starts[k] + sizes[k]])
         pairs = starts[use & (sizes == 2)]
-        pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= bits] if len(pairs) else pairs
+        pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= reach] if len(pairs) else pairs
         first, other = [fp[pairs]], [fp[pairs + 1]]
         for k in np.flatnonzero(use & (sizes > 2) & ~big):
             own = fp[starts[k] : starts[k] + sizes[k]]
-            found = np.array(bucket_links(own, bits), dtype=np.int64).reshape(-1, 2)
+            found = np.array(join(own, reach), dtype=np.int64).reshape(-1, 2)
             first.append(own[found[:, 0]])
             other.append(own[found[:, 1]])
         if sum(map(len, first)):
@@ -187,12 +196,17 @@ def link_level(members: DataFrame, bits: int, level: int) -> DataFrame:
     return dealt.mapInArrow(run, "kind int, a long, b long")
 
 
-def links(fingerprints: DataFrame, bits: int = 2, fp: str = "fingerprint") -> DataFrame:
-    """(a, b) between fingerprints, whose components are those of all links of at most ``bits`` bits."""
+def links(fingerprints: DataFrame, bits: int = 2, fp: str = "fingerprint", reach: int | None = None, nearest: bool = False) -> DataFrame:
+    """(a, b) between fingerprints, whose components are those of all links of at most ``bits`` bits.
+
+    ``reach`` above ``bits`` also takes pairs farther apart where a key brings them together. With ``nearest`` a
+    bucket links each member to the nearest earlier one, for callers that verify links by another measure.
+    """
+    reach = bits if reach is None else reach
     members = fingerprints.select(F.lit(0).cast("long").alias("bucket"), F.col(fp).alias("fp")).where("fp is not null").distinct()
     found, level = [], 0
     while True:
-        done = stage(link_level(members, bits, level), "links")
+        done = stage(link_level(members, bits, level, reach, nearest), "links")
         found.append(done.where("kind = 0").select("a", "b"))
         members = done.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
         if members.isEmpty():
@@ -235,3 +249,96 @@ def near_duplicates(df: DataFrame, bits: int = 2, doc_id: str = "doc_id", fp: st
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = stage(rooted.join(smallest, "root").select("fingerprint", "component_id"), "classes")
     return rows.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
+
+
+#: Words of a shingle, least Jaccard similarity and least-hash values of the verified form.
+SHINGLE, ALIKE, LEAST_HASHES = 5, 0.8, 3
+
+
+def signatures(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``simhash`` over single words and ``least``, the least values of three hashes of the five-word shingles.
+
+    Single words are the features because an edited word changes one of them and five shingles.
+    """
+
+    def make():
+        def compute(texts):
+            texts = texts.to_pylist()
+            words = [shingle_hashes(t, 1) for t in texts]
+            counts = np.array([len(x) for x in words], dtype=np.int64)
+            prints = majorities(np.array([h for x in words for h in x], dtype=np.uint64), counts)
+            least = []
+            for t in texts:
+                own = np.array(shingle_hashes(t, SHINGLE) or [0], dtype=np.uint64)
+                least.append([int(mix(own ^ np.uint64(k + 1)).min().view(np.int64)) for k in range(LEAST_HASHES)])
+            return [pa.array(prints.view(np.int64), pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+
+        return compute
+
+    return add_columns(df, [field("simhash", T.LongType()), field("least", T.ArrayType(T.LongType()))], make, text)
+
+
+def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``shingles``, the distinct five-word shingles as 64-bit hashes."""
+
+    def make():
+        return lambda texts: [pa.array([np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))]
+
+    return add_columns(df, [field("shingles", T.ArrayType(T.LongType()))], make, text)
+
+
+def verified_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 5, reach: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of every row, and (node, root) for texts (``node``: XXH64 of the text) that five-word shingles of similarity ``ALIKE`` or more
+    join to another text, directly or in a chain; ``root`` is the text of the group with the smallest id.
+
+    Copies are one node. Candidates are texts of one fingerprint that share a least hash, each with the first of
+    them, and fingerprints near each other, each with its nearest in a bucket; every candidate is then verified.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    nodes = df.select(F.xxhash64(whole).alias("node"), F.col(doc_id).alias("id"), whole.alias("text"))
+    signed_nodes = stage(signatures(nodes).select("node", "id", "simhash", "least"), "signatures")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "node")
+    texts = stage(signed_nodes.groupBy("node", "simhash", "least").agg(F.min(order).alias("at")), "texts")
+    spread = texts.select("node", "at", "simhash", F.posexplode("least").alias("k", "value"))
+    heads = spread.groupBy("simhash", "k", "value").agg(F.min("at").alias("head"), F.count("*").alias("n")).where("n > 1")
+    same = spread.join(heads, ["simhash", "k", "value"]).where("node <> head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b"))
+    firsts = stage(texts.groupBy("simhash").agg(F.min("at").alias("at")).select("simhash", F.col("at.node").alias("node")), "firsts")
+    near = links(firsts, bits, "simhash", reach, nearest=True)
+    across = (
+        near.join(firsts.select(F.col("simhash").alias("a"), F.col("node").alias("na")), "a")
+        .join(firsts.select(F.col("simhash").alias("b"), F.col("node").alias("nb")), "b")
+        .select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    )
+    pairs = stage(same.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = shingle_sets(nodes.join(wanted, "node", "left_semi").select("node", "text")).select("node", "shingles")
+    sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(shared >= ALIKE * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    roots = components(alike)
+    grouped = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = grouped.groupBy("root").agg(F.min("at").alias("best"), F.count("*").alias("n")).where("n > 1")
+    groups = stage(grouped.join(smallest, "root").select("node", F.col("best.node").alias("root")), "groups")
+    return signed_nodes.select("node", "id"), groups
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` with one document left of every group of copies and verified near copies: the smallest id.
+
+    Rows that agree in id and text are one document; the first of them stays.
+    """
+    rows, groups = verified_groups(df, doc_id, text)
+    lost = groups.where("node <> root").select("node", F.lit(True).alias("_lost"))
+    per_id = rows.groupBy("node", "id").agg(F.count("*").alias("n"))
+    per_text = per_id.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("best"), F.sum("n").alias("all"))
+    many = per_text.where("all > 1").select("node", F.lit(True).alias("_many"), F.col("best.id").alias("_id"), F.col("best.n").alias("_n"))
+    status = stage(lost.join(many, "node", "full").withColumnRenamed("node", "_node"), "status")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    joined = df.withColumn("_node", F.xxhash64(whole)).join(status, "_node", "left")
+    kept = joined.where(F.col("_lost").isNull() & (F.col("_many").isNull() | F.col(doc_id).eqNullSafe(F.col("_id"))))
+    if not status.where("_lost is null and _n > 1").isEmpty():  # rows that repeat id and text
+        kept = kept.where("_n is null or _n = 1").union(kept.where("_n > 1").dropDuplicates(["_node"]))
+    return kept.select(*df.columns)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import bpe, fingerprints, language, near_dups, packing, quality, rules, sharding
+from sessionlens.llm import bpe, fingerprints, language, line_templates, near_dups, packing, privacy, quality, rules, sharding
 from sessionlens.llm.common import fold, table
 from sessionlens.llm.registry import query
 
@@ -145,3 +145,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language.identify(docs.select("doc_id", "text"), filters)
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+@query("op1_privacy")
+def op1_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.private_spans(table(spark, sf_dir, "documents"))
+    names = F.array(*(F.lit(k) for k in privacy.KINDS))
+    as_text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{privacy.KINDS[kind]}")
+
+    counts = [count(k) for k in range(4)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(as_text("base"), 256).alias("base_sha256"), as_text("spans").alias("spans"))
+
+
+@query("op8_lines")
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.without_recurring_lines(docs)
