@@ -7,8 +7,8 @@ bit struck out, and equal keys bring the candidates together, which are then ver
 
 * Only distinct fingerprints are indexed, so copies meet in one row, however many there are.
 * A bucket answers with one link per member to the first of its group, never with its pairs.
-* Buckets above ``BUCKET`` members aren't held: their members pass through and are indexed again under a different
-  cut of the bits within the bucket, until every bucket is small. Nothing is capped.
+* Buckets above ``BUCKET`` members aren't compared: their members are indexed again under a different cut of the
+  bits within the bucket, until every bucket is small (above ``HELD`` they aren't even held). Nothing is capped.
 * Links become components by star contraction; every round is a written table.
 
 Cases: a text without words has fingerprint zero and is linked like any other; null ids take part, but an id is
@@ -34,6 +34,8 @@ from sessionlens.session import stage
 SEED = 42
 #: Members of a bucket that are compared with each other in one step.
 BUCKET = 1024
+#: Members of a bucket that a task holds to see whether they must be compared at all.
+HELD = 1 << 20
 #: Hash values whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -159,7 +161,7 @@ def link_level(members: DataFrame, bits: int, level: int, reach: int, nearest: b
             tail = int(np.searchsorted(key, key[-1], side="left"))
             yield from finished(key[:tail], fp[:tail])
             held_key, held_fp = key[tail:], fp[tail:]
-            if len(held_key) > BUCKET:
+            if len(held_key) > HELD:
                 yield rows(1, held_key, held_fp)
                 large, held_key, held_fp = int(held_key[0]), held_key[:0], held_fp[:0]
         yield from finished(held_key, held_fp)
@@ -256,26 +258,29 @@ SHINGLE, ALIKE, LEAST_HASHES = 5, 0.8, 3
 
 
 def signatures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``simhash`` over single words and ``least``, the least values of three hashes of the five-word shingles.
+    """Adds ``prints``, two fingerprints over pairs of words, and ``least``, the least values of three hashes of the
+    five-word shingles.
 
-    Single words are the features because an edited word changes one of them and five shingles.
+    Pairs of words are the features because an edited word changes two of them and five shingles; texts that share
+    only common words are still far apart.
     """
 
     def make():
         def compute(texts):
             texts = texts.to_pylist()
-            words = [shingle_hashes(t, 1) for t in texts]
+            words = [shingle_hashes(t, 2) for t in texts]
             counts = np.array([len(x) for x in words], dtype=np.int64)
-            prints = majorities(np.array([h for x in words for h in x], dtype=np.uint64), counts)
+            every = np.array([h for x in words for h in x], dtype=np.uint64)
+            prints = np.column_stack([majorities(every, counts), majorities(mix(every), counts)])
             least = []
             for t in texts:
                 own = np.array(shingle_hashes(t, SHINGLE) or [0], dtype=np.uint64)
                 least.append([int(mix(own ^ np.uint64(k + 1)).min().view(np.int64)) for k in range(LEAST_HASHES)])
-            return [pa.array(prints.view(np.int64), pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+            return [pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))]
 
         return compute
 
-    return add_columns(df, [field("simhash", T.LongType()), field("least", T.ArrayType(T.LongType()))], make, text)
+    return add_columns(df, [field("prints", T.ArrayType(T.LongType())), field("least", T.ArrayType(T.LongType()))], make, text)
 
 
 def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
@@ -287,28 +292,32 @@ def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(df, [field("shingles", T.ArrayType(T.LongType()))], make, text)
 
 
-def verified_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 5, reach: int = 8) -> tuple[DataFrame, DataFrame]:
+def verified_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 5, reach: int = 10) -> tuple[DataFrame, DataFrame]:
     """(node, id) of every row, and (node, root) for texts (``node``: XXH64 of the text) that five-word shingles of similarity ``ALIKE`` or more
     join to another text, directly or in a chain; ``root`` is the text of the group with the smallest id.
 
     Copies are one node. Candidates are texts of one fingerprint that share a least hash, each with the first of
-    them, and fingerprints near each other, each with its nearest in a bucket; every candidate is then verified.
+    them, and fingerprints near each other (of either kind), each with its nearest in a bucket; every candidate is
+    then verified. A pair of similarity 0.8 has about 5 of 64 bits apart, so a key of one kind brings it together
+    with probability 0.85, of either with 0.98; more similar pairs nearly always.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     nodes = df.select(F.xxhash64(whole).alias("node"), F.col(doc_id).alias("id"), whole.alias("text"))
-    signed_nodes = stage(signatures(nodes).select("node", "id", "simhash", "least"), "signatures")
+    signed_nodes = stage(signatures(nodes).select("node", "id", "prints", "least"), "signatures")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "node")
-    texts = stage(signed_nodes.groupBy("node", "simhash", "least").agg(F.min(order).alias("at")), "texts")
-    spread = texts.select("node", "at", "simhash", F.posexplode("least").alias("k", "value"))
-    heads = spread.groupBy("simhash", "k", "value").agg(F.min("at").alias("head"), F.count("*").alias("n")).where("n > 1")
-    same = spread.join(heads, ["simhash", "k", "value"]).where("node <> head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b"))
-    firsts = stage(texts.groupBy("simhash").agg(F.min("at").alias("at")).select("simhash", F.col("at.node").alias("node")), "firsts")
-    near = links(firsts, bits, "simhash", reach, nearest=True)
-    across = (
-        near.join(firsts.select(F.col("simhash").alias("a"), F.col("node").alias("na")), "a")
-        .join(firsts.select(F.col("simhash").alias("b"), F.col("node").alias("nb")), "b")
-        .select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    )
+    texts = stage(signed_nodes.groupBy("node", "prints", "least").agg(F.min(order).alias("at")), "texts")
+    spread = texts.select("node", "at", F.col("prints")[0].alias("print"), F.posexplode("least").alias("k", "value"))
+    heads = spread.groupBy("print", "k", "value").agg(F.min("at").alias("head"), F.count("*").alias("n")).where("n > 1")
+    same = spread.join(heads, ["print", "k", "value"]).where("node <> head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b"))
+    across = same.limit(0)
+    for k in range(2):
+        firsts = stage(texts.groupBy(F.col("prints")[k].alias("print")).agg(F.min("at").alias("at")).select("print", F.col("at.node").alias("node")), "firsts")
+        near = (
+            links(firsts, bits, "print", reach, nearest=True)
+            .join(firsts.select(F.col("print").alias("a"), F.col("node").alias("na")), "a")
+            .join(firsts.select(F.col("print").alias("b"), F.col("node").alias("nb")), "b")
+        )
+        across = across.union(near.select(F.col("na").alias("a"), F.col("nb").alias("b")))
     pairs = stage(same.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = shingle_sets(nodes.join(wanted, "node", "left_semi").select("node", "text")).select("node", "shingles")
