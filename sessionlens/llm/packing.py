@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from sessionlens.llm.common import gather, partitions, slices
 
 WINDOW = 4096
-STRETCH = 1 << 20
+STRETCH = 1 << 18
 #: In tokens of padding: what a cut inside a document, and inside a sentence, counts.
 SENTENCE_CUT, WORD_CUT = 8, 64
 #: Cuts inside a sentence are offered at this distance.
 WORD_STEP = 256
-SLICE = 4 << 20
-REMEMBERED = 250_000
+SLICE = 1 << 20
+REMEMBERED = 150_000
+#: Chunks that the library encodes in one call; its results are large while they live.
+CALL = 4096
 #: Sentence ends, as the last characters of a chunk.
 ENDS = (".", "!", "?", "。", "！", "？")
 
@@ -57,8 +59,10 @@ class ChunkTokens:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [c for c in chunks if c not in self.known]
-        if not new:
-            return
+        for at in range(0, len(new), CALL):
+            self.learn_new(new[at : at + CALL])
+
+    def learn_new(self, new: list[str]) -> None:
         coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(coded.ids, dtype=np.int64)
         word = np.array([-1 if w is None else w for w in coded.word_ids], dtype=np.int64)
