@@ -110,7 +110,7 @@ def test_equal_high_bits_of_hashes(spark):
 
 
 def test_policies_and_ablation(make):
-    texts = ["short", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12", "A!! B!! C!! D!! E!! F!! G!! H!! I!! J!! K!!", "a a a a a a a a a a a a a a"]
+    texts = ["short", "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12", "AAA!! BBB!! CCC!! DDD!! EEE!! FFF!! GGG!! HHH!! III!! JJJ!! KKK!!", "a a a a a a a a a a a a a a"]
     book = rules.ledger(make(list(enumerate(texts)))).cache()
     kept = {r[0]: r[1] for r in book.select("doc_id", rules.verdict(rules.STRICT)).collect()}
     assert kept == {0: False, 1: True, 2: False, 3: False}
