@@ -36,11 +36,12 @@ STRETCH = 1 << 18
 SENTENCE_CUT, WORD_CUT = 8, 64
 #: Cuts inside a sentence are offered at this distance.
 WORD_STEP = 256
-SLICE = 1 << 20
-REMEMBERED = 150_000
+SLICE = 2 << 20
+REMEMBERED = 200_000
 #: Chunks that the library encodes in one call; its results are large while they live.
 CALL = 4096
 #: Sentence ends, as the last characters of a chunk.
+MARKS = ".,!?;:|*#$%&"
 ENDS = (".", "!", "?", "。", "！", "？")
 
 
@@ -54,13 +55,39 @@ class ChunkTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        for at in range(0, len(new), CALL):
-            self.learn_new(new[at : at + CALL])
+        if len(self.known) > REMEMBERED:  # what was used since the last time stays
+            self.known, self.before = {}, self.known
+        known, before, new = self.known, self.before, []
+        for c in chunks:
+            if c not in known:
+                if c in before:
+                    known[c] = before[c]
+                else:
+                    new.append(c)
+        parts = [self.parts(c) for c in new]
+        missing = []
+        for p in {p for pair in parts for p in pair}:
+            if p not in known:
+                if p in before:
+                    known[p] = before[p]
+                else:
+                    missing.append(p)
+        for at in range(0, len(missing), CALL):
+            self.learn_new(missing[at : at + CALL])
+        for c, pair in zip(new, parts):
+            known[c] = known[pair[0]] if len(pair) == 1 else known[pair[0]] + known[pair[1]]
+
+    @staticmethod
+    def parts(chunk: str) -> tuple[str, ...]:
+        """A word and the marks that close it, which the vocabulary's pattern parts anyway; the word in lower case,
+        as the library puts it, where that goes letter by letter."""
+        word = chunk.rstrip(MARKS)
+        if not word or not word[-1].isalpha() or max(word) >= "\u0250":
+            return (chunk,)
+        return (word.lower(),) if len(word) == len(chunk) else (word.lower(), chunk[len(word) :])
 
     def learn_new(self, new: list[str]) -> None:
         coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
@@ -97,14 +124,27 @@ class ChunkTokens:
         return ids, np.diff(np.concatenate([[0], ends])[borders]), marks
 
 
+_TOKENS: dict[str, ChunkTokens] = {}
+
+
+def chunk_tokens(path: str) -> ChunkTokens:
+    """The tokens of this Python worker for a tokenizer file."""
+    if path not in _TOKENS:
+        _TOKENS[path] = ChunkTokens(path)
+    return _TOKENS[path]
+
+
 def best_cuts(at: list[int], penalty: list[int], window: int) -> list[int]:
     """Ends of the sequences (indexes into ``at``, ascending) with the least padding plus penalties.
 
     ``at`` are the allowed cuts, ascending from 0, no two more than ``window`` apart; the last must be a cut.
     """
-    powers = [1 << k for k in range(window.bit_length())]
-    powers = [p for p in powers if p < window]
-    index = {x: i for i, x in enumerate(at)}
+    exact: dict[int, list[int]] = {}  # cuts at a distance that needs no padding
+    places = np.array(at)
+    for p in [1 << k for k in range(window.bit_length()) if 1 << k < window]:
+        found = np.searchsorted(places, places - p)
+        for i in np.flatnonzero((places >= p) & (places[found] == places - p)).tolist():
+            exact.setdefault(i, []).append(int(found[i]))
     cost, last = [0] * len(at), [0] * len(at)
     queue: deque[tuple[int, int]] = deque([(0, 0)])  # (f + x, index), ascending
     for i in range(1, len(at)):
@@ -113,9 +153,8 @@ def best_cuts(at: list[int], penalty: list[int], window: int) -> list[int]:
             queue.popleft()
         key, j = queue[0]
         least = key + window - x
-        for p in powers:
-            k = index.get(x - p)
-            if k is not None and cost[k] < least:
+        for k in exact.get(i, ()):
+            if cost[k] < least:
                 least, j = cost[k], k
         least += penalty[i]
         cost[i], last[i] = least, j
@@ -165,7 +204,7 @@ def packed(df: DataFrame, path: str, end: int = 2, window: int = WINDOW, doc_id:
     )
 
     def run(batches):
-        tokens = ChunkTokens(path)
+        tokens = chunk_tokens(path)
         base, made = TaskContext.get().partitionId() << 32, 0
         # rows that aren't packed yet: (id, tokens before this stretch, tokens in it, tokens of the document)
         docs: list[tuple] = []
