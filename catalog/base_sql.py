@@ -199,7 +199,8 @@ shared AS (SELECT p.usr, p.pc FROM pcs2 p JOIN own o ON p.usr = o.usr AND p.pc <
            WHERE o.npc > 1 AND coalesce(d.role, '') <> 'ITAdmin')"""
 ANSWERS = f"""answers AS (
   SELECT DISTINCT CASE WHEN (user_id // 5) % 4 = 3 THEN '5.2' ELSE '4.2' END AS dataset, 1 + (user_id // 5) % 3 AS scenario,
-         {uid('user_id')} AS usr, TIMESTAMP '2024-01-05 00:00:00' AS mstart, TIMESTAMP '2024-01-20 23:59:59' AS mend
+         {uid('user_id')} AS usr, TIMESTAMP '2024-01-02 00:00:00' + to_days(CAST(5 * ((user_id // 5) % 5) AS INTEGER)) AS mstart,
+         TIMESTAMP '2024-01-10 00:00:00' + to_days(CAST(5 * ((user_id // 5) % 5) AS INTEGER)) AS mend
   FROM events WHERE user_id % 5 = 0),
 insiders AS (SELECT * FROM answers WHERE dataset = '4.2'),
 pairs AS (

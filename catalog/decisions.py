@@ -7,6 +7,7 @@ from catalog.sampling import PROBS
 from catalog.shapes import Shapes
 from sessionlens.functions.scalars import argmax
 from sessionlens.operators import cascade, evaluation
+from sessionlens.session import stage
 
 _P, _E = ["p0", "p1", "p2", "p3"], ["e0", "e1", "e2"]
 
@@ -128,11 +129,11 @@ def _gate(t: float, clamp: bool) -> str:
     f" SELECT {num(str(t), 'target')}, {num(_gate(t, False), 'threshold')}, {num(_gate(t, True), 'clamped')}" for t in cascade.GATE_RECALL_TARGETS))
 def gate_thresholds(s: Shapes):
     """The gate threshold for every known recall target, as found and clamped."""
-    counts = cascade.threshold_counts(s.probabilities(), "y", "q")
+    counts = stage(cascade.threshold_counts(s.probabilities(), "y", "q"), "sweep")
     rows = None
     for t in cascade.GATE_RECALL_TARGETS:
-        plain = cascade.gate_threshold(counts, t).select(F.lit(t).alias("target"), "threshold")
-        row = plain.withColumn("clamped", F.when(F.col("threshold") > 0.2, 0.15).otherwise(F.col("threshold")))
+        clamped = cascade.gate_threshold(counts, t, clamp=True).select(F.col("threshold").alias("clamped"))
+        row = cascade.gate_threshold(counts, t).select(F.lit(t).alias("target"), "threshold").withColumn("clamped", clamped.scalar())
         rows = row if rows is None else rows.unionByName(row)
     return rows
 

@@ -34,6 +34,15 @@ HOSTS = {
 EXTENSIONS = ["zip", "rar", "7z", "jpg", "png", "bmp", "doc", "docx", "pdf", "txt", "cfg", "rtf", "exe", "sh", "dat"]
 
 
+#: Length of an incident. Incidents begin on different days, so that every part of a time split holds some.
+INCIDENT_DAYS = 8
+
+
+def incident_start(fifth: Column) -> Column:
+    """The day a user's incident begins: 2, 7, 12, 17 or 22 January."""
+    return F.lit("2024-01-02 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((fifth % 5 * 5).cast("int"))
+
+
 def user_id(c: Column) -> Column:
     return F.concat(F.lit("U"), F.lpad(c.cast("string"), 7, "0"))
 
@@ -181,7 +190,8 @@ class Shapes:
             F.when(fifth % 4 == 3, "5.2").otherwise("4.2").alias("dataset"),
             (1 + fifth % 3).cast("string").alias("scenario"),
             F.concat(user_id(F.col("user_id")), F.lit(".csv")).alias("details"), user_id(F.col("user_id")).alias("user"),
-            F.lit("01/05/2024 00:00:00").alias("start"), F.lit("01/20/2024 23:59:59").alias("end"))
+            F.date_format(incident_start(fifth), "MM/dd/yyyy HH:mm:ss").alias("start"),
+            F.date_format(incident_start(fifth) + F.expr(f"make_dt_interval({INCIDENT_DAYS})"), "MM/dd/yyyy HH:mm:ss").alias("end"))
 
     def details(self) -> DataFrame:
         """Lines of the action list files; some listed files do not exist."""
@@ -189,8 +199,7 @@ class Shapes:
         stamp = F.date_trunc("second", "ts").cast("timestamp_ntz")
         rows = self.table("events").where(
             (F.col("user_id") % 5 == 0) & (F.col("event_id") % 17 == 0) & (fifth % 7 != 6)
-            & stamp.between(F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"),
-                            F.lit("2024-01-20 23:59:59").cast("timestamp_ntz")))
+            & stamp.between(incident_start(fifth), incident_start(fifth) + F.expr(f"make_dt_interval({INCIDENT_DAYS})")))
         user = user_id(F.col("user_id"))
         action = F.concat(F.lit("E"), F.lpad(F.col("event_id").cast("string"), 12, "0"))
         line = F.concat(F.lit("logon,\""), action, F.lit("\","), F.date_format(stamp, "MM/dd/yyyy HH:mm:ss"),

@@ -129,7 +129,8 @@ def with_slices(
 
     Group sizes are measured first, on ``bound`` where that is given (a stored table whose groups
     are at least as large, so that ``df`` need not be computed twice). Without a large group the
-    plan stays a plain window per group. With one, slice numbers are contiguous, every slice holds
+    plan stays a plain window per group. With one, rows are dealt by (group, slice), as input that
+    is already dealt by group would otherwise keep all slices of a group in one task. Slice numbers are contiguous, every slice holds
     at least one row, and the cuts are stored as a table with one row per (large group, coarse
     bucket): its size follows rows/limit, which is what makes its broadcast safe.
     """
@@ -148,7 +149,7 @@ def with_slices(
                       LAST: F.coalesce(F.col(LAST), F.lit(0)).cast("int")})
         .drop(_COARSE, _FINE, "_base", "_starts")
     )
-    return Sliced(sliced, keys, axis, True)
+    return Sliced(sliced.repartition(*keys, SLICE), keys, axis, True)
 
 
 def _cuts(marked: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -270,7 +271,8 @@ def frames(
         whole = whole.unionByName(lent.withColumn(SLICE, F.col("_to")).select(*columns, F.lit(True).alias(HALO)))
     sizes = edge_rows.groupBy(*sliced.slots).agg(F.count(F.lit(1)).alias("_n"))
     placed = sliced.of(whole).attach(sliced.before(sizes, {OFFSET: "_n"}))
-    return placed.of(placed.df.withColumn(OFFSET, F.coalesce(F.col(OFFSET), F.lit(0)).cast("long")))
+    offset = F.coalesce(F.col(OFFSET), F.lit(0)).cast("long")
+    return placed.of(placed.df.withColumn(OFFSET, offset).repartition(*placed.slots))
 
 
 def cut_points(

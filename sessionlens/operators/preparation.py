@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.functions.scalars import clean_numeric, signed_log
+from sessionlens.operators import ordering
 from sessionlens.session import stage
 
 # Columns that identify rather than describe, and columns dropped on request.
@@ -20,7 +21,7 @@ SUSPECT = [
     "http_n_cloudf", *[f"http_cloudf_mean_{m}" for m in WEB_MEASURES],
 ]
 OPTIONAL = [f"file_{g}_n-disk{d}" for g in ("compf", "txtf", "exef") for d in (1, 2)]
-CATEGORICAL = ["pc", "start_with", "end_with", "ses_start", "ses_end", "role", "f_unit", "dept", "team", "ITAdmin"]
+CATEGORICAL = ["pc", "start_with", "end_with", "role", "b_unit", "f_unit", "dept", "team", "ITAdmin"]
 PROTECTED_PREFIXES = ("n_", "file_", "email_", "http_", "usb", "logon")
 SPARSE_SHARE, BINARY_VALUES, SKEW_VALUES, SKEW_LIMIT, RARE_FREQUENCY = 0.99, 5, 10, 3.0, 0.01
 
@@ -37,13 +38,18 @@ def feature_columns(
     return [c for c in df.columns if c not in out and c != "split"]
 
 
+def known(x: Column) -> Column:
+    """The value as a double, with NaN as null: a missing value is no value."""
+    return F.nullif(x.cast("double"), F.lit(float("nan")))
+
+
 def per_column(df: DataFrame, columns: Sequence[str], measures: dict[str, callable]) -> DataFrame:
-    """One scan, one row per column with each measure.
+    """One scan, one row per column with each measure. NaN counts as null.
 
     Values are aggregated in long form under a small integer key: the plan stays short and compiled
     however many columns there are, and map-side combine leaves one row per column and task.
     """
-    long = df.select(F.posexplode(F.array(*[column(c).cast("double") for c in columns])).alias("pos", "v"))
+    long = df.select(F.posexplode(F.array(*[known(column(c)) for c in columns])).alias("pos", "v"))
     stats = long.groupBy("pos").agg(*[m(F.col("v")).alias(name) for name, m in measures.items()])
     names = F.array(*[F.lit(c) for c in columns])
     return stats.select(F.get(names, F.col("pos")).alias("column"), *measures)
@@ -80,6 +86,7 @@ def few_values(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
 
     Each task keeps at most that many values per column and emits only those, so the shuffle holds
     a few values per column and task whatever the cardinality; no built-in aggregate stops early.
+    Nulls and NaN are no values.
     """
     names = list(columns)
 
@@ -91,13 +98,13 @@ def few_values(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
         for batch in batches:
             for i, name in enumerate(names):
                 if len(kept[name]) <= most:
-                    kept[name].update(v for v in pc.unique(batch.column(i)).to_pylist()[: 2 * most + 2] if v is not None)
+                    kept[name].update(pc.unique(pc.drop_null(batch.column(i)))[: most + 1].to_pylist())
         pairs = [(name, v) for name in names for v in sorted(kept[name])[: most + 1]]
         yield pa.RecordBatch.from_arrays(
             [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())],
             names=["column", "value"])
 
-    narrow = df.select(*[column(c).cast("double").alias(c) for c in names])
+    narrow = df.select(*[known(column(c)).alias(c) for c in names])
     values = narrow.mapInArrow(scan, "column string, value double").distinct()
     counted = values.groupBy("column").agg(F.count("value").alias("n"))
     return counted.select("column", F.least("n", F.lit(most + 1)).alias("values"))
@@ -188,30 +195,43 @@ def frequency_encode(df: DataFrame, train: DataFrame, columns: Sequence[str], fl
     counts = stage(
         train.select(F.posexplode(values).alias("pos", "value")).groupBy("pos", "value").agg(F.count(F.lit(1)).alias("n")),
         "frequencies")
-    total = counts.where(F.col("pos") == 0).agg(F.sum("n").cast("double").alias("n")).scalar()
-    out = df.withColumn("_total", total)
+    totals = counts.where(F.col("value").isNotNull()).groupBy("pos").agg(F.sum("n").cast("double").alias("total"))
+    counts = stage(counts.join(totals, "pos"), "frequency-shares")
+    out = df
     for i, c in enumerate(columns):
         seen = counts.where((F.col("pos") == i) & F.col("value").isNotNull()).select(
-            F.col("value").alias("_value"), F.col("n").alias("_n"))
-        share = F.coalesce(F.greatest(F.col("_n") / F.col("_total"), F.lit(floor)), F.lit(floor))
+            F.col("value").alias("_value"), (F.col("n") / F.col("total")).alias("_n"))
+        share = F.coalesce(F.greatest(F.col("_n"), F.lit(floor)), F.lit(floor))
         out = out.join(seen, column(c).cast("string") == F.col("_value"), "left").withColumn(c, share).drop("_value", "_n")
-    return out.drop("_total")
+    return out
+
 
+def levels(train: DataFrame, name: str) -> list:
+    """Sorted values of a category in the training part, one per column of the one-hot form."""
+    return sorted(r[0] for r in train.select(column(name)).where(column(name).isNotNull()).distinct().collect())
 
-def levels(train: DataFrame, name: str, most: int = 1000) -> list:
-    """Sorted values of a category in the training part. They become columns, hence the check."""
-    found = [r[0] for r in train.select(column(name)).where(column(name).isNotNull()).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"{name} has more than {most} values; encode it as codes or frequencies")
-    return sorted(found)
 
+def one_hot(df: DataFrame, train: DataFrame, name: str, values: Sequence | None = None) -> DataFrame:
+    """0/1 columns for the training levels except the first; values unseen in training are all 0.
 
-def one_hot(df: DataFrame, train: DataFrame, name: str) -> DataFrame:
-    """0/1 columns for the training levels except the first; values unseen in training are all 0."""
-    flags = {f"{name}_{v}": F.when(column(name) == v, 1).otherwise(0) for v in levels(train, name)[1:]}
+    The result has a column per level, so the levels are few by its nature (``values`` gives them
+    where they are known); :func:`one_hot_index` is the form for categories of any size.
+    """
+    found = levels(train, name) if values is None else list(values)
+    flags = {f"{name}_{v}": F.when(column(name) == v, 1).otherwise(0) for v in found[1:]}
     return df.withColumns(flags).drop(name)
 
 
+def one_hot_index(df: DataFrame, train: DataFrame, name: str) -> DataFrame:
+    """The sparse one-hot form: the position of the single 1 (from 0 for the second training level),
+    null where all are 0. Levels stay a table and are joined, however many there are."""
+    found = train.select(column(name).alias("_level")).where("_level is not null").distinct()
+    axis = ordering.text_axis("_text", "_level")
+    places = ordering.global_index(found.withColumn("_text", F.col("_level").cast("string")), axis, "_place").drop("_text")
+    joined = df.join(stage(places, "levels"), column(name) == F.col("_level"), "left")
+    return joined.withColumn(f"{name}_index", F.when(F.col("_place") > 0, F.col("_place") - 1)).drop(name, "_level", "_place")
+
+
 def audit(df: DataFrame, columns: Sequence[str], limit: float = SKEW_LIMIT) -> DataFrame:
     """Largest value, mean, deviation and skewness per column, to four places."""
     stats = per_column(df, columns, {"max": F.max, "mean": F.avg, "std": F.stddev_samp, "skewness": skew})

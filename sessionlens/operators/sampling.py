@@ -124,8 +124,8 @@ def synthetic_rows(
 
     Rows are used in hash order, round after round; round r uses neighbour 1 + r mod k. A class
     that takes part has fewer rows than its target, which is a parameter, so the neighbour search
-    and the numbering below are bounded by the targets and not by the table. A class of a single
-    row has no neighbour and stays as it is.
+    and the numbering below are bounded by the targets and not by the table. A class below its target
+    with fewer than two rows has no neighbour to move towards, which is an error.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_m"))
     target = F.lit(None).cast("long")
@@ -134,6 +134,8 @@ def synthetic_rows(
     need = target - F.col("_m")
     if checked:
         need = F.when(need < 0, F.raise_error(F.lit("target below the class size"))).otherwise(need)
+    alone = F.raise_error(F.lit("a class of one row has no neighbour to be raised from"))
+    need = F.when((need > 0) & (F.col("_m") < 2), alone).otherwise(need)
     short = counts.withColumn("_need", need).where(F.col("_need") > 0)
     # one row per class
     pool = df.select(row_id, label, vector).join(F.broadcast(short), label)

@@ -8,6 +8,7 @@ reduced to the class, so the same plan runs on small tables.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -17,8 +18,6 @@ from sessionlens.functions.scalars import argmax
 from sessionlens.operators import cascade, evaluation, learners, preparation, sampling, sequences, splits
 from sessionlens.session import stage
 
-STATIC = ["role", "f_unit", "dept", "team", "ITAdmin", "O", "C", "A", "E", "N"]
-FREQUENCY_COLUMNS = ["pc", "role", "f_unit", "dept", "team"]
 
 
 @dataclass(frozen=True)
@@ -42,12 +41,16 @@ def _identified(windows: DataFrame) -> DataFrame:
 
 
 def _resample(train: DataFrame, settings: Settings, raw: int | None = None) -> DataFrame:
-    """Under-sample class 0, then raise the rare classes that are below the target."""
+    """Under-sample class 0, then raise the rare classes that are below the target. A class of
+    fewer than two rows can't be raised, which is told as a warning."""
     size = F.least(F.lit(settings.benign), F.col("_n"))
     kept = train.where(F.col("y") != 0).unionByName(
         sampling.draw(train.where(F.col("y") == 0), ["y"], "id", size))
     kept = stage(kept.select("id", "y", "features"), "resampled")
     counts = {r["y"]: r["count"] for r in kept.groupBy("y").count().collect()}
+    for c in (1, 2, 3):
+        if counts.get(c, 0) < 2:
+            warnings.warn(f"class {c} has {counts.get(c, 0)} training rows and is not raised", stacklevel=3)
     targets = {c: settings.synthetic for c in (1, 2, 3) if 1 < counts.get(c, 0) < settings.synthetic}
     if not targets:
         return kept.withColumn("copy", F.lit(-1))
@@ -65,10 +68,13 @@ def _reported(scored: DataFrame) -> DataFrame:
     return made[0].unionByName(made[1])
 
 
-def flat_cascade(sessions: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Multiclass tier, three-class expert on the rows called 0, contest of classes 2 and 3."""
+def flat_cascade(sessions: DataFrame, settings: Settings = Settings(), names: list[str] | None = None) -> DataFrame:
+    """Multiclass tier, three-class expert on the rows called 0, contest of classes 2 and 3.
+
+    ``names`` are the features: by default every column that doesn't identify a session.
+    """
     split = splits.time_user_split(sessions)
-    names = preparation.feature_columns(sessions, leakage=True, suspect=True, optional=True, extra=STATIC)
+    names = preparation.feature_columns(sessions, leakage=False) if names is None else names
     windows = stage(_identified(sequences.flatten_windows(sequences.sequence_windows(
         split, names, settings.window, keys=["split", "user"]))), "windows")
     train, test = (windows.where(F.col("split") == p) for p in ("train", "test"))
@@ -92,7 +98,7 @@ def history_cascade(sessions: DataFrame, settings: Settings = HISTORY, threshold
     dead = set(preparation.names_where(preparation.dead_columns(train, names), "dead"))
     names = [c for c in names if c not in dead]
     numeric = [c for c in names if c not in preparation.CATEGORICAL]
-    coded = preparation.frequency_encode(split, train, [c for c in FREQUENCY_COLUMNS if c in names])
+    coded = preparation.frequency_encode(split, train, [c for c in preparation.CATEGORICAL if c in names])
     scaled = preparation.standard_scale(coded.fillna(0, numeric), train.fillna(0, numeric), numeric)
     raw = [c for c in sequences.TEMPORAL_COLUMNS if c in names]
     enriched = sequences.temporal_features(scaled, raw, keys=["split", "user"])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,14 +35,19 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder of the cluster. Only a session whose executors are the driver's own threads (master
+    ``local[...]``) gets a temporary one where none is set; it is deleted when the driver ends."""
     configured = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if configured:
         return configured
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="sessionlens-"))
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="sessionlens-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
         current = context.getCheckpointDir()
     return current
 
