@@ -36,17 +36,23 @@ STRETCH = 1 << 18
 SENTENCE_CUT, WORD_CUT = 8, 64
 #: Cuts inside a sentence are offered at this distance.
 WORD_STEP = 256
-SLICE = 2 << 20
+SLICE = 4 << 20
 REMEMBERED = 200_000
 #: Chunks that the library encodes in one call; its results are large while they live.
 CALL = 4096
-#: Sentence ends, as the last characters of a chunk.
-MARKS = ".,!?;:|*#$%&"
-ENDS = (".", "!", "?", "。", "！", "？")
+#: A letter, the marks that close its word, and the space after them (RE2).
+CLOSING = r"(\pL)([.,!?;:|*#$%&]+) "
+SENTENCE_END = "[.!?。！？]$"
+#: Of sentence ends so near to each other, one is offered as a cut.
+NEAR = 32
 
 
 class ChunkTokens:
-    """Ids of the tokenizers library for a vocabulary that drops white space, remembered per chunk between spaces."""
+    """Ids of the tokenizers library for a vocabulary that drops white space, remembered per chunk between spaces.
+
+    Texts are put in lower case and the marks that close a word are parted from it first. The library does both
+    itself, so ids stay the same, but far fewer chunks differ.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,65 +60,58 @@ class ChunkTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, tuple[int, ...]] = {}
         self.before: dict[str, tuple[int, ...]] = {}
 
-    def learn(self, chunks: list[str]) -> None:
+    def learn(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each chunk."""
         if len(self.known) > REMEMBERED:  # what was used since the last time stays
             self.known, self.before = {}, self.known
-        known, before, new = self.known, self.before, []
-        for c in chunks:
-            if c not in known:
-                if c in before:
-                    known[c] = before[c]
-                else:
-                    new.append(c)
-        parts = [self.parts(c) for c in new]
+        known, before = self.known, self.before
+        found = list(map(known.get, chunks))
         missing = []
-        for p in {p for pair in parts for p in pair}:
-            if p not in known:
-                if p in before:
-                    known[p] = before[p]
+        for k, ids in enumerate(found):
+            if ids is None:
+                ids = found[k] = before.get(chunks[k])
+                if ids is None:
+                    missing.append(k)
                 else:
-                    missing.append(p)
+                    known[chunks[k]] = ids
         for at in range(0, len(missing), CALL):
-            self.learn_new(missing[at : at + CALL])
-        for c, pair in zip(new, parts):
-            known[c] = known[pair[0]] if len(pair) == 1 else known[pair[0]] + known[pair[1]]
-
-    @staticmethod
-    def parts(chunk: str) -> tuple[str, ...]:
-        """A word and the marks that close it, which the vocabulary's pattern parts anyway; the word in lower case,
-        as the library puts it, where that goes letter by letter."""
-        word = chunk.rstrip(MARKS)
-        if not word or not word[-1].isalpha() or max(word) >= "\u0250":
-            return (chunk,)
-        return (word.lower(),) if len(word) == len(chunk) else (word.lower(), chunk[len(word) :])
-
-    def learn_new(self, new: list[str]) -> None:
+            part = missing[at : at + CALL]
+            for k, ids in zip(part, self.call([chunks[k] for k in part])):
+                found[k] = known[chunks[k]] = ids
+        return found
+
+    def call(self, new: list[str]) -> list[tuple[int, ...]]:
         coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(coded.ids, dtype=np.int64)
-        word = np.array([-1 if w is None else w for w in coded.word_ids], dtype=np.int64)
-        if (word < 0).any():  # special tokens belong to no word
-            for c in new:
-                self.known[c] = tuple(self.tokenizer.encode(c, add_special_tokens=False).ids)
-            return
-        at = np.searchsorted(word, np.arange(len(new) + 1)).tolist()
-        ids = ids.tolist()
-        for k, c in enumerate(new):
-            self.known[c] = tuple(ids[at[k] : at[k + 1]])
+        words = coded.word_ids
+        if None in words:  # special tokens belong to no word
+            return [tuple(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in new]
+        at = np.searchsorted(np.array(words, dtype=np.int64), np.arange(len(new) + 1)).tolist()
+        ids = coded.ids
+        return [tuple(ids[i:j]) for i, j in zip(at, at[1:])]
+
+    def chunks(self, texts: pa.Array) -> pa.ListArray:
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        plain = pc.utf8_lower(texts)
+        count = lambda part, token: pc.sum(pc.count_substring(part, token)).as_py()
+        # the only letter whose lower case depends on who asks; special tokens must not come about
+        if count(texts, "\u0130") or any(count(texts, t) != count(plain, t) for t in self.special):
+            plain = texts
+        return pc.split_pattern(pc.replace_substring_regex(plain, CLOSING, r"\1 \2 "), " ")
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``; the tokens of each text; 1 where a sentence ends after an id."""
-        lists = pc.split_pattern_regex(pc.fill_null(texts, ""), "[ \n]")
+        lists = self.chunks(texts)
         borders = lists.offsets.to_numpy().astype(np.int64)
         borders = borders - borders[0]
         coded = pc.list_flatten(lists).dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
-        chunks = coded.dictionary.to_pylist()
-        self.learn(chunks)
-        found = [self.known[c] for c in chunks] + [(end,)]
-        stop = np.array([c.endswith(ENDS) for c in chunks] + [True])
+        stop = np.append(pc.match_substring_regex(coded.dictionary, SENTENCE_END).to_numpy(zero_copy_only=False), True)
+        found = self.learn(coded.dictionary.to_pylist())
+        found.append((end,))
         codes = np.insert(codes, borders[1:], len(found) - 1)
         borders = borders + np.arange(len(borders))
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
@@ -175,7 +174,9 @@ def allowed_cuts(sizes: np.ndarray, marks: np.ndarray, tail: int = 0) -> tuple[n
     In the last ``tail`` tokens any position will do, so that they can fall into lengths that need no padding.
     """
     ends = np.cumsum(sizes)
-    places = np.unique(np.concatenate([[0], ends, np.flatnonzero(marks) + 1]))
+    sentences = np.flatnonzero(marks) + 1
+    sentences = sentences[np.flatnonzero(np.diff(sentences // NEAR, append=-1))]  # the last of each stretch
+    places = np.unique(np.concatenate([[0], ends, sentences]))
     gaps = np.diff(places)
     wide = np.flatnonzero(gaps > WORD_STEP)
     inner = [np.arange(places[k] + WORD_STEP, places[k + 1], WORD_STEP) for k in wide]
