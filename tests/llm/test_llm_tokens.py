@@ -77,8 +77,10 @@ def test_packing_covers_every_token_once(spark, make, none, reference):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
     texts = [(i, " ".join(word() + rng.choice(["", "", "", ".", "\n", "<|endoftext|>"]) for _ in range(rng.randint(0, 400)))) for i in range(60)]
     texts += [(100, None), (101, ""), (102, "x " * 30000), (103, TEXTS[3]), (104, TEXTS[6]), (105, "Σίσυφος ΣΑΣ É É x"), (None, "no id")]
-    rows = packing.packed(make(texts), path, finish=piece_digests, schema=PIECES).collect()
-    check_pieces(rows, texts, reference("word_bpe_49k.json"))
+    odd = "<|ENDOFTEXT|> Ab. <|endoftext|> AB! \u0130I \u212a \u1e9e \u01c5 It's IT'S. 'S x'. y.' z**. $5,000. a\u0301. b.\u0301 \u00c9. "
+    texts += [(106, odd), (107, "word.<|endoftext|> word|> End|. \u00e9. \u00c9!\x85x. \x1c y. "), (108, odd.replace("\u0130", "")), (109, odd[14:].replace("\u0130", ""))]
+    for part in [texts, *([t] for t in texts[-4:])]:
+        check_pieces(packing.packed(make(part), path, finish=piece_digests, schema=PIECES).collect(), part, reference("word_bpe_49k.json"))
     assert packing.packed(none, path, finish=piece_digests, schema=PIECES).count() == 0
 
 
