@@ -36,7 +36,7 @@ STRETCH = 1 << 18
 SENTENCE_CUT, WORD_CUT = 8, 64
 #: Cuts inside a sentence are offered at this distance.
 WORD_STEP = 256
-SLICE = 4 << 20
+SLICE = 2 << 20
 REMEMBERED = 200_000
 #: Chunks that the library encodes in one call; its results are large while they live.
 CALL = 4096
