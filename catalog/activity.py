@@ -144,9 +144,4 @@ def mal_act_flag(s):
     return activity.with_malicious_flag(s.rows(), s.pairs).select("actid", "mal_act")
 
 
-@query("session_sink")
-def session_sink(s):
-    """All weeks as one session table on disk."""
-    return stage(s.session_table(), "merged").groupBy("week").agg(
-        F.count(F.lit(1)).alias("sessions"), F.max("n_allact").alias("largest"), F.sum("insider").alias("insider_sum"))
 

@@ -11,8 +11,8 @@ from sessionlens.operators import sessions as sess
 from sessionlens.operators import splits
 
 ALL = [c for c in sess.SESSION_COLUMNS if c not in {*prep.IDENTIFIERS, *prep.LEAKAGE}]
-SOME = ["n_allact", "n_http", "n_email", "n_file", "usb_mean_usb_dur", "http_mean_url_len", "file_mean_file_len",
-        "email_mean_email_size", "duration", "n_concurrent_sessions"]
+#: Traits are unknown for some users; windows and fits take the columns that every session has.
+FILLED = [c for c in ALL if c not in {"O", "C", "E", "A", "N"}]
 CODES = ["pc", "start_with", "end_with", "role", "f_unit", "dept", "team"]
 _KEY = ["user", "sessionid"]
 _key_sql = '"user", sessionid'
@@ -151,37 +151,37 @@ def epoch_parse(s: Shapes):
 
 def _scaled(center: str, width: str, inner: str = "{0}") -> str:
     fits = ", ".join(f"{center.format(inner.format(f'\"{c}\"'))} AS a{i}, {width.format(inner.format(f'\"{c}\"'))} AS b{i}"
-                     for i, c in enumerate(SOME))
+                     for i, c in enumerate(FILLED))
     cols = ", ".join(num(f"({inner.format(f't.\"{c}\"')} - f.a{i}) / CASE WHEN f.b{i} > 0 THEN f.b{i} ELSE 1 END", c)
-                     for i, c in enumerate(SOME))
+                     for i, c in enumerate(FILLED))
     return ctes(*SPLIT, f"f AS (SELECT {fits} FROM train)") + f" SELECT {_key_sql}, {cols} FROM thirds t, f"
 
 
 _log = "(sign({0}) * ln(1 + abs({0})))"
 
 
-@query("signed_log", ctes(*SESSIONS) + f" SELECT {_key_sql}, " + ", ".join(num(_log.format(f'"{c}"'), c) for c in SOME) + " FROM session_rows")
+@query("signed_log", ctes(*SESSIONS) + f" SELECT {_key_sql}, " + ", ".join(num(_log.format(f'"{c}"'), c) for c in FILLED) + " FROM session_rows")
 def signed_log(s: Shapes):
-    return prep.apply_signed_log(s.sessions.select(*_KEY, *SOME), SOME)
+    return prep.apply_signed_log(s.sessions.select(*_KEY, *FILLED), FILLED)
 
 
 @query("standard_scale", _scaled("avg({0})", "stddev_pop({0})"))
 def standard_scale(s: Shapes):
-    return prep.standard_scale(timed(s), train(s), SOME).select(*_KEY, *SOME)
+    return prep.standard_scale(timed(s), train(s), FILLED).select(*_KEY, *FILLED)
 
 
 @query("clip_features", _scaled("avg({0})", "stddev_pop({0})").replace("SELECT \"user\", sessionid, ", "SELECT \"user\", sessionid, ").replace(
     f" SELECT {_key_sql}, ", f", z AS (SELECT {_key_sql}, ") + f") SELECT {_key_sql}, " + ", ".join(
-        num(f'greatest(least("{c}", 3), -3)', c) for c in SOME) + " FROM z")
+        num(f'greatest(least("{c}", 3), -3)', c) for c in FILLED) + " FROM z")
 def clip_features(s: Shapes):
-    scaled = prep.standard_scale(timed(s), train(s), SOME)
-    return scaled.select(*_KEY, *[scalars.clip(F.col(c)).alias(c) for c in SOME])
+    scaled = prep.standard_scale(timed(s), train(s), FILLED)
+    return scaled.select(*_KEY, *[scalars.clip(F.col(c)).alias(c) for c in FILLED])
 
 
 @query("minmax_scale", _scaled("min({0})", "(max({0}) - min({0}))", _log))
 def minmax_scale(s: Shapes):
-    logged = prep.apply_signed_log(timed(s).select(*_KEY, "split", *SOME), SOME)
-    return prep.minmax_scale(logged, logged.where(F.col("split") == "train"), SOME).select(*_KEY, *SOME)
+    logged = prep.apply_signed_log(timed(s).select(*_KEY, "split", *FILLED), FILLED)
+    return prep.minmax_scale(logged, logged.where(F.col("split") == "train"), FILLED).select(*_KEY, *FILLED)
 
 
 @query("frequency_encode", ctes(*SPLIT, *[

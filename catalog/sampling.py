@@ -146,10 +146,14 @@ def round_categorical(s: Shapes):
     return sampling.round_columns(s.table("events").select("event_id", "value"), ["value"])
 
 
-@query("cluster_sample")
+@query("cluster_sample", f"""
+WITH g AS (SELECT vec_id, label % 4 AS y, vec_id % 12 AS cluster, row_number() OVER (PARTITION BY label % 4 = 0, vec_id % 12 ORDER BY {_h}, vec_id) AS r FROM embeddings)
+SELECT vec_id, {big('y', 'y')}, {big('CASE WHEN y = 0 THEN cluster ELSE -1 END', 'cluster')} FROM g WHERE y <> 0 OR r <= 5""")
 def cluster_sample(s: Shapes):
+    """At most five rows of each cluster of the majority class; the clusters are given by the id."""
     rows = s.vectors().withColumn("y", F.col("label") % 4)
-    return sampling.cluster_sample(rows, "y", "vec_id", "x", 12, 600).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    given = lambda df: df.withColumn("cluster", (F.col("vec_id") % 12).cast("int"))
+    return sampling.cluster_sample(rows, "y", "vec_id", "x", 12, 60, assign=given).select("vec_id", "y", "cluster")
 
 
 # --- labels -------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from catalog.preparation import SOME, SPLIT
+from catalog.preparation import FILLED, SPLIT
 from catalog.registry import big, ctes, num, query
 from catalog.sessions import SESSIONS
 from catalog.shapes import Shapes
@@ -13,7 +13,7 @@ from sessionlens.operators import splits
 _W = 'PARTITION BY "user" ORDER BY starttime, sessionid'
 
 
-def windows_sql(size: int, y: str, where: str = "", columns: list[str] = SOME, source: str = "session_rows",
+def windows_sql(size: int, y: str, where: str = "", columns: list[str] = FILLED, source: str = "session_rows",
                 part: str = '"user"') -> list[str]:
     over = f"(PARTITION BY {part} ORDER BY starttime, sessionid ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)"
     plain = f"(PARTITION BY {part} ORDER BY starttime, sessionid)"
@@ -25,26 +25,26 @@ wins AS (SELECT * EXCLUDE (c) FROM wins0 WHERE c = {size} {where})"""]
 
 
 def _pack(size: int) -> str:
-    names = seq.flat_names(SOME, size)
-    total = " + ".join(f'"{n}"' for n in names)
+    names = seq.flat_names(FILLED, size)
+    total = " + ".join(f'{i % 97 + 1} * "{n}"' for i, n in enumerate(names))
     return f'"user", {big("window_no", "window_no")}, {big("y", "y")}, {num(f"\"{names[0]}\"", "first")}, {num(f"\"{names[-1]}\"", "last")}, {num(total, "total")}'
 
 
 def packed(windows):
-    """First and last entry and the sum of a flat window."""
+    """First and last entry of a flat window and the sum of all, each times a weight that tells its place."""
     flat = seq.flatten_windows(windows)
     return flat.select("user", "window_no", "y", F.element_at("features", 1).alias("first"), F.element_at("features", -1).alias("last"),
-                       F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"))
+                       F.aggregate(F.transform("features", lambda x, i: x * (i % 97 + 1)), F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 @query("windows_max", ctes(*SESSIONS, *windows_sql(3, "max(insider) OVER {over}")) + f" SELECT {_pack(3)} FROM wins")
 def windows_max(s: Shapes):
-    return packed(seq.sequence_windows(s.sessions, SOME, 3))
+    return packed(seq.sequence_windows(s.sessions, FILLED, 3))
 
 
 @query("windows_last", ctes(*SESSIONS, *windows_sql(4, "lead(insider, 3) OVER {plain}")) + f" SELECT {_pack(4)} FROM wins")
 def windows_last(s: Shapes):
-    return packed(seq.sequence_windows(s.sessions, SOME, 4, rule="last"))
+    return packed(seq.sequence_windows(s.sessions, FILLED, 4, rule="last"))
 
 
 _count = "sum(CASE WHEN insider = {c} THEN 1 ELSE 0 END) OVER {{over}}"
@@ -55,15 +55,15 @@ _maj = (f"CASE WHEN greatest({_n[1]}, {_n[2]}, {_n[3]}) < 2 THEN 0 WHEN {_n[1]}
 
 @query("windows_majority", ctes(*SESSIONS, *windows_sql(5, _maj)) + f" SELECT {_pack(5)} FROM wins")
 def windows_majority(s: Shapes):
-    return packed(seq.sequence_windows(s.sessions, SOME, 5, rule="majority"))
+    return packed(seq.sequence_windows(s.sessions, FILLED, 5, rule="majority"))
 
 
 @query("windows_stride", ctes(*SESSIONS, *windows_sql(5, "max(insider) OVER {over}", "AND window_no % 2 = 0")) + f" SELECT {_pack(5)} FROM wins")
 def windows_stride(s: Shapes):
-    return packed(seq.sequence_windows(s.sessions, SOME, 5, step=2))
+    return packed(seq.sequence_windows(s.sessions, FILLED, 5, step=2))
 
 
-_few = SOME[:5]
+_few = ["n_allact", "n_http", "n_email", "n_file", "usb_mean_usb_dur"]
 
 
 @query("windows_flat", ctes(*SESSIONS, *windows_sql(3, "max(insider) OVER {over}", columns=_few)) + f"""
@@ -104,10 +104,11 @@ _prev = f"({_W} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
 
 
 @query("temporal_meandiff", ctes(*SESSIONS) + ' SELECT "user", sessionid, ' + ", ".join(
-    num(f'coalesce("{c}" - avg("{c}") OVER {_prev}, 0)', f"{c}_meandiff") for c in SOME) + " FROM session_rows")
+    num(f'coalesce(coalesce("{c}", 0) - avg(coalesce("{c}", 0)) OVER {_prev}, 0)', f"{c}_meandiff") for c in seq.TEMPORAL_COLUMNS) + " FROM session_rows")
 def temporal_meandiff(s: Shapes):
-    made = seq.temporal_features(s.sessions.select("user", "sessionid", "starttime", *SOME), SOME, percentile=False)
-    return made.select("user", "sessionid", *[f"{c}_meandiff" for c in SOME])
+    rows = s.sessions.select("user", "sessionid", "starttime", *seq.TEMPORAL_COLUMNS).fillna(0, seq.TEMPORAL_COLUMNS)
+    made = seq.temporal_features(rows, seq.TEMPORAL_COLUMNS, percentile=False)
+    return made.select("user", "sessionid", *[F.col(f"`{c}_meandiff`") for c in seq.TEMPORAL_COLUMNS])
 
 
 def _pct(c: str) -> str:
@@ -120,7 +121,7 @@ def _pct(c: str) -> str:
 
 
 @query("temporal_pct", ctes(*SESSIONS) + ' SELECT "user", sessionid, ' + ", ".join(
-    num(_pct(c), f"{c}_pct") for c in SOME) + " FROM session_rows")
+    num(_pct(c), f"{c}_pct") for c in seq.TEMPORAL_COLUMNS) + " FROM session_rows")
 def temporal_pct(s: Shapes):
-    made = seq.temporal_features(s.sessions.select("user", "sessionid", "starttime", *SOME), SOME, meandiff=False)
-    return made.select("user", "sessionid", *[f"{c}_pct" for c in SOME])
+    made = seq.temporal_features(s.sessions.select("user", "sessionid", "starttime", *seq.TEMPORAL_COLUMNS), seq.TEMPORAL_COLUMNS, meandiff=False)
+    return made.select("user", "sessionid", *[f"{c}_pct" for c in seq.TEMPORAL_COLUMNS])

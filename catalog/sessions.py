@@ -6,6 +6,8 @@ from catalog import base_sql as b
 from catalog.registry import big, ctes, num, query, when
 from catalog.shapes import Shapes
 from sessionlens.operators import activity, sessions
+from sessionlens.plans import etl
+from sessionlens.session import fresh_path
 
 _id = f"{big('week', 'week')}, usr AS \"user\", pcid, {big('seq', 'session_seq')}"
 _rows = [*b.ROWS, b.sessionized("feats")]
@@ -119,3 +121,14 @@ def session_ids(s: Shapes):
     num(f'"{c}"', c) if "ROUND" in _plain.get(c, "") or c in sessions.USER_COLUMNS[6:] else f'"{c}"' for c in _order) + " FROM session_rows")
 def session_table(s: Shapes):
     return s.session_table()
+
+
+@query("session_sink", ctes(*SESSIONS) + f""" SELECT week, {big('count(*)', 'sessions')}, {big('max(n_allact)', 'largest')},
+  {big('sum(insider)', 'insider_sum')}, {num('max(duration)', 'longest')} FROM session_rows GROUP BY week""")
+def session_sink(s: Shapes):
+    """All weeks written as one session table and read back."""
+    path = fresh_path(s.spark, "sessions-out")
+    etl.write_sessions(s.session_table(), path)
+    return s.spark.read.parquet(path).groupBy("week").agg(
+        F.count(F.lit(1)).alias("sessions"), F.max("n_allact").alias("largest"), F.sum("insider").alias("insider_sum"),
+        F.max("duration").alias("longest"))

@@ -59,12 +59,21 @@ def accuracy_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
                   F.avg(right.cast("double")).alias("accuracy"))
 
 
+def score_bucket(score: str) -> str:
+    """A whole number that never falls along a score: its power of two and 2^30 steps inside, so that
+    scores near 0 (usual for a gate) are told apart as finely as large ones."""
+    size = f"abs({score})"
+    power = f"floor(log2({size}))"
+    steps = f"((cast({power} as bigint) + 1100) * 1073741824 + cast(floor(({size} / pow(2, {power}) - 1) * 1073741824) as bigint))"
+    return f"case when {size} < 1e-300 or {score} is null then 0 else cast(sign({score}) as bigint) * {steps} end"
+
+
 def rank_auc(scores: DataFrame, groups: Sequence[str], score: str, positive: str, limit: int | None = None) -> DataFrame:
     """Exact area under the ROC curve per group: the share of (positive, negative) pairs in right
     order, ties counting half. Equal scores are merged first and counts run along the score."""
     merged = scores.groupBy(*groups, score).agg(
         F.sum(F.col(positive).cast("long")).alias("pos"), F.sum(1 - F.col(positive).cast("long")).alias("neg"))
-    axis = ordering.Axis((score,), f"floor({score} * 1073741824)", 1 << 15)
+    axis = ordering.Axis((score,), score_bucket(score), 1 << 24)
     swept = ordering.running(merged, groups, axis, {"upto": F.col("neg")}, limit, bound=scores)
     below = F.col("upto") - F.col("neg") / F.lit(2.0)
     return swept.groupBy(*groups).agg(

@@ -95,10 +95,18 @@ def _top(k: int):
         import numpy as np
 
         rows = []
-        for q, qid in zip(queries, query_ids):
-            distance = np.sqrt(((points - q) ** 2).sum(axis=1))
-            order = [i for i in np.lexsort((point_ids, distance))[: k + 1] if point_ids[i] != qid][:k]
-            rows += [(qid, r + 1, point_ids[i], distance[i]) for r, i in enumerate(order)]
+        most = min(k, len(points) - 1)  # the k-th neighbour lies here, as the query may be a point
+        length = (points**2).sum(axis=1)
+        for start in range(0, len(queries), 256):
+            part, ids = queries[start : start + 256], query_ids[start : start + 256]
+            rough = (part**2).sum(axis=1)[:, None] + length - 2 * part @ points.T
+            slack = 1e-9 * ((part**2).sum(axis=1) + length.max())
+            near = rough <= (np.partition(rough, most, axis=1)[:, most] + slack)[:, None]
+            for q, qid, candidates in zip(part, ids, near):
+                at = np.flatnonzero(candidates)
+                distance = np.sqrt(((points[at] - q) ** 2).sum(axis=1))
+                order = [i for i in np.lexsort((point_ids[at], distance))[: k + 1] if point_ids[at[i]] != qid][:k]
+                rows += [(qid, r + 1, point_ids[at[i]], distance[i]) for r, i in enumerate(order)]
         return rows
 
     return top

@@ -73,8 +73,8 @@ def flat_cascade(sessions: DataFrame, settings: Settings = Settings(), names: li
 
     ``names`` are the features: by default every column that doesn't identify a session.
     """
-    split = splits.time_user_split(sessions)
     names = preparation.feature_columns(sessions, leakage=False) if names is None else names
+    split = splits.time_user_split(sessions).fillna(0, names)
     windows = stage(_identified(sequences.flatten_windows(sequences.sequence_windows(
         split, names, settings.window, keys=["split", "user"]))), "windows")
     train, test = (windows.where(F.col("split") == p) for p in ("train", "test"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sessionlens.operators import activity, directory, sessions
 from sessionlens.session import build_session, fresh_path, prepare, stage
@@ -32,10 +33,23 @@ def session_table(spark: SparkSession, base: str, answers: str, limit: int | Non
     return sessions.session_table(activity.row_features(weeks), users, pairs, limit)
 
 
+def write_sessions(table: DataFrame, path: str) -> None:
+    """The session table as files of one declared schema: counts, codes, times and labels as whole numbers,
+    means and scores as doubles."""
+    table.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in session_schema(table)]).write.option(
+        "compression", "snappy").parquet(path)
+
+
+def session_schema(table: DataFrame) -> list[tuple[str, str]]:
+    """(column, type) in table order; the type follows from what a column measures."""
+    return [(c, "double" if "_mean_" in c or c in sessions.USER_COLUMNS[6:] or c == "duration" else kind)
+            for c, kind in table.dtypes]
+
+
 def main() -> None:
     base, answers, out = sys.argv[1:4]
     spark = build_session("session-table")
-    session_table(spark, base, answers).write.option("compression", "snappy").parquet(out)
+    write_sessions(session_table(spark, base, answers), out)
     spark.stop()
 
 
