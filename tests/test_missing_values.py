@@ -83,3 +83,23 @@ def test_staging_needs_a_shared_folder(monkeypatch, spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.stage_dir(Session())
+
+
+def test_auc_of_tiny_scores(spark):
+    from sessionlens.operators import evaluation
+
+    values = [10.0 ** -(k % 40) * (1 + k / 1000) for k in range(120)] + [0.0, 0.0, 1.0]
+    rows = [("g", v, k % 3 == 0) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, s double, pos boolean")
+    pairs = [(a[1], b[1]) for a in rows if a[2] for b in rows if not b[2]]
+    want = sum((x > y) + (x == y) / 2 for x, y in pairs) / len(pairs)
+    assert evaluation.rank_auc(df, ["g"], "s", "pos", limit=4).first()["auc"] == pytest.approx(want)
+    order = df.selectExpr("s", evaluation.score_bucket("s") + " as b").orderBy("s").collect()
+    assert [r["b"] for r in order] == sorted(r["b"] for r in order) and len({r["b"] for r in order}) > 100
+
+
+def test_gate_clamp_is_exact(spark):
+    from sessionlens.operators import cascade
+
+    counts = spark.createDataFrame([(0.1, 0.99, 0.5), (0.3, 0.9, 0.2), (0.6, 0.4, 0.1)], "threshold double, recall double, fpr double")
+    assert [cascade.gate_threshold(counts, t, clamp=True).first()["threshold"] for t in (0.995, 0.95, 0.9, 0.4)] == [0.01, 0.1, 0.15, 0.15]
