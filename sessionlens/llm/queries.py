@@ -56,7 +56,7 @@ f AS (
   SELECT *,
     (CASE WHEN n_words < 10 THEN 1 ELSE 0 END)
     + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
-    + (CASE WHEN n_words > 0 AND 100 * n_symbols > 40 * n_words THEN 4 ELSE 0 END)
+    + (CASE WHEN n_words > 0 AND 100 * n_symbols > 10 * n_words THEN 4 ELSE 0 END)
     + (CASE WHEN 100 * n_upper > 50 * word_chars THEN 8 ELSE 0 END)
     + (CASE WHEN 100 * n_marks > 40 * n_words THEN 16 ELSE 0 END)
     + (CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 32 ELSE 0 END)

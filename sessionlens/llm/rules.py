@@ -116,7 +116,7 @@ class Rule:
 RULES = [
     Rule("few_words", "n_words < 10"),
     Rule("repeats", "100 * n_repeat_words > 20 * n_words"),
-    Rule("symbols", "n_words > 0 and 100 * n_symbols > 40 * n_words"),
+    Rule("symbols", "n_words > 0 and 100 * n_symbols > 10 * n_words"),
     Rule("shouting", "100 * n_upper > 50 * n_letters"),
     Rule("marks", "100 * n_marks > 40 * n_words"),
     Rule("same_lines", "100 * n_dup_lines > 40 * n_lines"),
