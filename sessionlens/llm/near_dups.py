@@ -122,17 +122,8 @@ def bucket_links(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def bucket_nearest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """(nearest, other) for every member that has an earlier member within ``bits``."""
-    apart = np.bitwise_count(fps[:, None] ^ fps[None, :]).astype(np.int64)
-    apart[np.triu_indices(len(fps))] = 65
-    best = apart.argmin(axis=1)
-    return [(int(best[i]), i) for i in range(1, len(fps)) if apart[i, best[i]] <= bits]
-
-
-def link_level(members: DataFrame, bits: int, level: int, reach: int, nearest: bool) -> DataFrame:
+def link_level(members: DataFrame, bits: int, level: int) -> DataFrame:
     """From (bucket, fp) rows: links (kind 0: a, b) and members of large buckets (kind 1: bucket, fp)."""
-    join = bucket_nearest if nearest else bucket_links
     masks = cut_masks(bits, level)
     struck = np.array([b for _, b in masks], dtype=np.int64)
     literal = "array(" + ",".join(f"{signed(m)}L" for m, _ in masks) + ")"
@@ -185,11 +176,11 @@ def link_level(members: DataFrame, bits: int, level: int, reach: int, nearest: b
         for k in np.flatnonzero(big):
             yield rows(1, key[starts[k] : starts[k] + sizes[k]], fp[starts[k] : starts[k] + sizes[k]])
         pairs = starts[use & (sizes == 2)]
-        pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= reach] if len(pairs) else pairs
+        pairs = pairs[np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= bits] if len(pairs) else pairs
         first, other = [fp[pairs]], [fp[pairs + 1]]
         for k in np.flatnonzero(use & (sizes > 2) & ~big):
             own = fp[starts[k] : starts[k] + sizes[k]]
-            found = np.array(join(own, reach), dtype=np.int64).reshape(-1, 2)
+            found = np.array(bucket_links(own, bits), dtype=np.int64).reshape(-1, 2)
             first.append(own[found[:, 0]])
             other.append(own[found[:, 1]])
         if sum(map(len, first)):
@@ -198,17 +189,12 @@ def link_level(members: DataFrame, bits: int, level: int, reach: int, nearest: b
     return dealt.mapInArrow(run, "kind int, a long, b long")
 
 
-def links(fingerprints: DataFrame, bits: int = 2, fp: str = "fingerprint", reach: int | None = None, nearest: bool = False) -> DataFrame:
-    """(a, b) between fingerprints, whose components are those of all links of at most ``bits`` bits.
-
-    ``reach`` above ``bits`` also takes pairs farther apart where a key brings them together. With ``nearest`` a
-    bucket links each member to the nearest earlier one, for callers that verify links by another measure.
-    """
-    reach = bits if reach is None else reach
+def links(fingerprints: DataFrame, bits: int = 2, fp: str = "fingerprint") -> DataFrame:
+    """(a, b) between fingerprints, whose components are those of all links of at most ``bits`` bits."""
     members = fingerprints.select(F.lit(0).cast("long").alias("bucket"), F.col(fp).alias("fp")).where("fp is not null").distinct()
     found, level = [], 0
     while True:
-        done = stage(link_level(members, bits, level, reach, nearest), "links")
+        done = stage(link_level(members, bits, level), "links")
         found.append(done.where("kind = 0").select("a", "b"))
         members = done.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("fp"))
         if members.isEmpty():
@@ -253,34 +239,46 @@ def near_duplicates(df: DataFrame, bits: int = 2, doc_id: str = "doc_id", fp: st
     return rows.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: Words of a shingle, least Jaccard similarity and least-hash values of the verified form.
-SHINGLE, ALIKE, LEAST_HASHES = 5, 0.8, 3
+#: Words of a shingle and the least Jaccard similarity of the verified form.
+SHINGLE, ALIKE = 5, 0.8
+#: Bands and least-hash values per band: texts of similarity s share a band with probability 1 - (1 - s^4)^20.
+BANDS, PER_BAND = 20, 4
+#: Bits of 64 in which the sketches of a pair may differ: texts of similarity 0.8 differ in 6.4, with deviation 2.4.
+SKETCH_APART = 20
+#: Odd factors, one per least-hash value.
+FACTORS = mix(np.arange(1, BANDS * PER_BAND + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def signatures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``prints``, two fingerprints over pairs of words, and ``least``, the least values of three hashes of the
-    five-word shingles.
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The least of ``hashes`` under each of the ``FACTORS``."""
+    out = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, len(hashes), 8192):
+        np.minimum(out, np.multiply.outer(FACTORS, hashes[start : start + 8192]).min(axis=1), out=out)
+    return mix(out)
 
-    Pairs of words are the features because an edited word changes two of them and five shingles; texts that share
-    only common words are still far apart.
-    """
+
+def signatures(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``bands`` (one key per band over the least hashes of the five-word shingles), ``sketch`` (a bit of each of
+    64 least hashes) and ``width``, the number of distinct shingles."""
 
     def make():
         def compute(texts):
-            texts = texts.to_pylist()
-            words = [shingle_hashes(t, 2) for t in texts]
-            counts = np.array([len(x) for x in words], dtype=np.int64)
-            every = np.array([h for x in words for h in x], dtype=np.uint64)
-            prints = np.column_stack([majorities(every, counts), majorities(mix(every), counts)])
-            least = []
-            for t in texts:
-                own = np.array(shingle_hashes(t, SHINGLE) or [0], dtype=np.uint64)
-                least.append([int(mix(own ^ np.uint64(k + 1)).min().view(np.int64)) for k in range(LEAST_HASHES)])
-            return [pa.array(list(prints.view(np.int64)), pa.list_(pa.int64())), pa.array(least, pa.list_(pa.int64()))]
+            bands, sketch, width = [], [], []
+            for t in texts.to_pylist():
+                own = np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64))
+                least = least_hashes(own if len(own) else np.zeros(1, dtype=np.uint64))
+                key = np.arange(BANDS, dtype=np.uint64)
+                for k in range(PER_BAND):
+                    key = mix(key + least[k::PER_BAND])
+                bands.append(key.view(np.int64))
+                sketch.append(int(np.packbits((least[:64] & np.uint64(1)).astype(np.uint8)).view(np.int64)[0]))
+                width.append(len(own))
+            return [pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.int64()), pa.array(width, pa.int64())]
 
         return compute
 
-    return add_columns(df, [field("prints", T.ArrayType(T.LongType())), field("least", T.ArrayType(T.LongType()))], make, text)
+    fields = [field("bands", T.ArrayType(T.LongType())), field("sketch", T.LongType()), field("width", T.LongType())]
+    return add_columns(df, fields, make, text)
 
 
 def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
@@ -292,43 +290,53 @@ def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(df, [field("shingles", T.ArrayType(T.LongType()))], make, text)
 
 
-def verified_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 5, reach: int = 10) -> tuple[DataFrame, DataFrame]:
+def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose whole texts have a similarity of ``ALIKE`` or more; written."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = shingle_sets(nodes.join(wanted, "node", "left_semi").select("node", "text")).select("node", "shingles")
+    sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+    )
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return stage(both.where(shared >= ALIKE * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "alike")
+
+
+def verified_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(node, id) of every row, and (node, root) for texts (``node``: XXH64 of the text) that five-word shingles of similarity ``ALIKE`` or more
     join to another text, directly or in a chain; ``root`` is the text of the group with the smallest id.
 
-    Copies are one node. Candidates are texts of one fingerprint that share a least hash, each with the first of
-    them, and fingerprints near each other (of either kind), each with its nearest in a bucket; every candidate is
-    then verified. A pair of similarity 0.8 has about 5 of 64 bits apart, so a key of one kind brings it together
-    with probability 0.85, of either with 0.98; more similar pairs nearly always.
+    Copies are one node. Candidates share a band of least hashes, whatever the kind of edit: a pair of similarity 0.8
+    does with probability 1 - (1 - 0.8^4)^20 = 0.99997. First every text is verified against the first one of each of
+    its bands, which joins large groups by one pair per member and band. Then, in every band that still holds texts of
+    several components, all pairs across components are verified, so no failed check leaves a partner untried; texts
+    outside the component of the first one meet all others, and pairs inside a component are not made.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     nodes = df.select(F.xxhash64(whole).alias("node"), F.col(doc_id).alias("id"), whole.alias("text"))
-    signed_nodes = stage(signatures(nodes).select("node", "id", "prints", "least"), "signatures")
+    signed_nodes = stage(signatures(nodes).select("node", "id", "bands", "sketch", "width"), "signatures")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "node")
-    texts = stage(signed_nodes.groupBy("node", "prints", "least").agg(F.min(order).alias("at")), "texts")
-    spread = texts.select("node", "at", F.col("prints")[0].alias("print"), F.posexplode("least").alias("k", "value"))
-    heads = spread.groupBy("print", "k", "value").agg(F.min("at").alias("head"), F.count("*").alias("n")).where("n > 1")
-    same = spread.join(heads, ["print", "k", "value"]).where("node <> head.node").select(F.col("node").alias("a"), F.col("head.node").alias("b"))
-    across = same.limit(0)
-    for k in range(2):
-        firsts = stage(texts.groupBy(F.col("prints")[k].alias("print")).agg(F.min("at").alias("at")).select("print", F.col("at.node").alias("node")), "firsts")
-        near = (
-            links(firsts, bits, "print", reach, nearest=True)
-            .join(firsts.select(F.col("print").alias("a"), F.col("node").alias("na")), "a")
-            .join(firsts.select(F.col("print").alias("b"), F.col("node").alias("nb")), "b")
-        )
-        across = across.union(near.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    pairs = stage(same.union(across).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = shingle_sets(nodes.join(wanted, "node", "left_semi").select("node", "text")).select("node", "shingles")
-    sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
+    texts = stage(signed_nodes.groupBy("node").agg(F.min(order).alias("at"), *(F.first(n).alias(n) for n in ("bands", "sketch", "width"))), "texts")
+    spread = texts.select("node", "sketch", "width", F.explode("bands").alias("key"))
+    heads = stage(spread.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "heads")
+    members = stage(spread.join(heads, "key"), "members")
+    first = stage(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+    alike = verified(nodes, first)
+    known = components(alike)
+    rooted = (
+        members.join(known.withColumnRenamed("root", "own"), "node", "left")
+        .join(known.select(F.col("node").alias("head"), F.col("root").alias("of_head")), "head", "left")
+        .select("key", "node", "sketch", "width", F.coalesce("own", "node").alias("own"), F.coalesce("of_head", "head").alias("of_head"))
     )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(shared >= ALIKE * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    roots = components(alike)
-    grouped = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stage(rooted, "rooted")
+    others = rooted.where("own <> of_head").select("key", *(F.col(n).alias(f"{n}_a") for n in ("node", "sketch", "width", "own")))
+    near = f"bit_count(sketch ^ sketch_a) <= {SKETCH_APART} and least(width, width_a) >= {ALIKE} * greatest(width, width_a)"
+    met = rooted.join(others, "key").where(f"own <> own_a and (own = of_head or node_a < node) and {near}")
+    more = met.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
+    more = stage(more.join(first, ["a", "b"], "left_anti"), "candidates")
+    if not more.isEmpty():
+        known = components(alike.union(verified(nodes, more)))
+    grouped = texts.select("node", "at").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("at").alias("best"), F.count("*").alias("n")).where("n > 1")
     groups = stage(grouped.join(smallest, "root").select("node", F.col("best.node").alias("root")), "groups")
     return signed_nodes.select("node", "id"), groups

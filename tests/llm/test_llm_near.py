@@ -102,6 +102,47 @@ def test_one_of_each_group_stays(spark, make, odd, none):
     assert near_dups.one_of_each(none).count() == 0
 
 
+def shingles(text):
+    found = text.split()
+    return {tuple(found[i : i + 5]) for i in range(len(found) - 4)}
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_no_partner_of_a_templated_cluster_is_left_untried(make):
+    """Texts of one template are about 0.67 alike; some have a partner of 0.8 or more that isn't the nearest."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    frame = [word() for _ in range(300)]
+    texts = []
+    for _ in range(120):
+        own = frame[:240] + [word() for _ in range(60)]
+        texts.append(own)
+        if rng.random() < 0.4:
+            at = rng.randrange(240)
+            texts.append(own[:at] + [word() for _ in range(15)] + own[at + 15 :])
+    texts = [" ".join(t) for t in texts]
+    want = groups([shingles(t) for t in texts], alike)
+    got = near_dups.one_of_each(make(list(enumerate(texts)))).collect()
+    assert 0 < len(texts) - len(set(want)) and sorted(r["doc_id"] for r in got) == sorted(set(want))
+
+
+def test_block_edits_near_the_limit_are_found(make):
+    """A passage appended, cut off or replaced, with a similarity from 0.8 to 0.85."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for g in range(150):
+        base = [word() for _ in range(300)]
+        edited = [base + [word() for _ in range(rng.randint(53, 73))], base[: rng.randint(242, 255)], base[:100] + [word() for _ in range(24)] + base[124:]][g % 3]
+        texts += [" ".join(base), " ".join(edited)]
+        assert 0.8 <= len(shingles(texts[-2]) & shingles(texts[-1])) / len(shingles(texts[-2]) | shingles(texts[-1])) < 0.86
+    got = near_dups.one_of_each(make(list(enumerate(texts)))).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(0, 300, 2))
+
+
 def brute_lines(rows):
     first, docs = {}, {}
     order = lambda i, t: (i is not None, i or 0, xxhash.xxh64_intdigest((t or "").encode(), 42) - ((xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63) << 64))
