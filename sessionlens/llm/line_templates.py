@@ -7,7 +7,8 @@ the leading ones (every ``BLOCKS``-th token) is free. So lines that differ in on
 meeting is equality of a hash: no leaf is ever gathered or compared line by line.
 
 A template that occurs in more than one document recurs, and the line is dropped from all of them but the first
-(least id), where its first occurrence stays. Lines of fewer than ``LEAST`` tokens are kept as they are.
+(least id), where its first occurrence stays. Lines of fewer than ``LEAST`` tokens are keyed by their exact tokens.
+Tokens are parted by white space; in scripts that put no spaces between words, two characters are a token.
 
 Documents are told apart by id and text, so rows that repeat both are one document. Cases: a null text stays null;
 an empty line stays; null ids come first; a text all of whose lines are dropped becomes empty; an empty table gives
@@ -31,15 +32,27 @@ from sessionlens.session import stage
 LEAST, FREE_FROM, LEADING, BLOCKS = 5, 10, 3, 4
 FIELD = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
+#: Thai, Lao, Myanmar, Khmer, kana and Han, which put no spaces between words.
+SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+HAS_SPACELESS = re.compile(f"[{SPACELESS}]")
+PART = re.compile(f"[{SPACELESS}]{{1,2}}|[^\x20\x09-\x0D{SPACELESS}]+")
+
+
+def tokens_of(line: bytes) -> list[bytes]:
+    if not line.isascii():
+        text = line.decode("utf-8", "surrogatepass")
+        if HAS_SPACELESS.search(text):
+            return [t.encode("utf-8", "surrogatepass") for t in PART.findall(text)]
+    return line.split()
 
 
 def template_keys(line: bytes) -> list[int]:
-    """Keys of the templates of a line as signed 64-bit numbers; none for a short line."""
-    tokens = line.split()
+    """Keys of the templates of a line as signed 64-bit numbers; none for an empty line."""
+    tokens = tokens_of(line)
     n = len(tokens)
-    if n < LEAST:
+    if not n:
         return []
-    if DIGIT.search(line):
+    if n >= LEAST and DIGIT.search(line):
         tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
     branch = b"%d " % n + b" ".join(tokens[:LEADING])
     texts = [branch + b" " + b" ".join(tokens[LEADING:])]

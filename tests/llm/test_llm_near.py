@@ -177,6 +177,14 @@ def test_lines_equal_brute_force(make, odd, none, clash):
     assert line_templates.without_recurring_lines(clash).where("key = 'mine'").count() == odd.count()
 
 
+def test_short_and_spaceless_lines_recur_too(make):
+    footer, passage, thai = "SPDX-License-Identifier: MIT", "この文書の内容は予告なく変更されることがありますのでご注意ください", "สงวนลิขสิทธิ์ตามกฎหมายห้ามทำซ้ำ"
+    changed = passage.replace("変更", "改訂")  # one field of a long line
+    rows = [(i, f"{footer}\nown{i}\n\n{passage}\n{thai}\nAll rights reserved.") for i in range(4)] + [(9, changed)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.without_recurring_lines(make(rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"own{i}\n" for i in range(1, 4)) and got[9] == ""
+
+
 def test_paragraphs_are_inserted_and_deleted():
     a, b, both = fingerprints.fingerprint(["one two three four", "five six\nseven", "seven\none two three four\nfive six"])
     assert fingerprints.combine(a, b) == both
