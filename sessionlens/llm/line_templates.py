@@ -8,6 +8,8 @@ meeting is equality of a hash: no leaf is ever gathered or compared line by line
 
 A template that occurs in more than one document recurs, and the line is dropped from all of them but the first
 (least id), where its first occurrence stays. Lines of fewer than ``LEAST`` tokens are keyed by their exact tokens.
+A template with wildcards counts only if at least ``LITERAL`` of its tokens and half of them are fixed words (tokens
+with a letter): rows of numbers and of other fields recur only as they are.
 Tokens are parted by white space; in scripts that put no spaces between words, two characters are a token.
 
 Documents are told apart by id and text, so rows that repeat both are one document. Cases: a null text stays null;
@@ -29,9 +31,10 @@ from pyspark.sql import types as T
 from sessionlens.llm.common import add_columns, field
 from sessionlens.session import stage
 
-LEAST, FREE_FROM, LEADING, BLOCKS = 5, 10, 3, 4
+LEAST, FREE_FROM, LEADING, BLOCKS, LITERAL = 5, 10, 3, 4, 3
 FIELD = b"<*>"
 DIGIT = re.compile(rb"[0-9]")
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 #: Thai, Lao, Myanmar, Khmer, kana and Han, which put no spaces between words.
 SPACELESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 HAS_SPACELESS = re.compile(f"[{SPACELESS}]")
@@ -46,6 +49,12 @@ def tokens_of(line: bytes) -> list[bytes]:
     return line.split()
 
 
+def worded(template: list[bytes]) -> bool:
+    """Whether enough of a template is fixed words."""
+    words = sum(1 for t in template if t is not FIELD and LETTER.search(t))
+    return words >= LITERAL and 2 * words >= len(template)
+
+
 def template_keys(line: bytes) -> list[int]:
     """Keys of the templates of a line as signed 64-bit numbers; none for an empty line."""
     tokens = tokens_of(line)
@@ -53,14 +62,17 @@ def template_keys(line: bytes) -> list[int]:
     if not n:
         return []
     if n >= LEAST and DIGIT.search(line):
-        tokens = [FIELD if DIGIT.search(t) else t for t in tokens]
+        free = [FIELD if DIGIT.search(t) else t for t in tokens]
+        if worded(free):
+            tokens = free
     branch = b"%d " % n + b" ".join(tokens[:LEADING])
     texts = [branch + b" " + b" ".join(tokens[LEADING:])]
     if n >= FREE_FROM:
         for block in range(BLOCKS):
             rest = tokens[LEADING:]
             rest[block::BLOCKS] = [FIELD] * len(rest[block::BLOCKS])
-            texts.append(b"%d " % block + branch + b" " + b" ".join(rest))
+            if worded(tokens[:LEADING] + rest):
+                texts.append(b"%d " % block + branch + b" " + b" ".join(rest))
     return [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(t) for t in texts)]
 
 

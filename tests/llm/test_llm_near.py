@@ -185,6 +185,19 @@ def test_short_and_spaceless_lines_recur_too(make):
     assert got[0] == rows[0][1] and all(got[i] == f"own{i}\n" for i in range(1, 4)) and got[9] == ""
 
 
+def test_clean_rows_of_numbers_stay(make):
+    """Of 60 different rows a text in tables, schedules and logs, and one whole row that two texts share."""
+    rng = random.Random(5)
+    table = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(5))
+    wide = lambda: " | ".join(str(rng.randrange(10**6)) for _ in range(7))
+    plan = lambda: f"Mon {rng.randrange(24)}:{rng.randrange(60)} room {rng.randrange(10**4)} {rng.randrange(10**6)}"
+    log = lambda: f"2024-05-{rng.randrange(31)} {rng.randrange(10**6)} INFO {rng.randrange(10**6)} {rng.randrange(10**6)} ok"
+    rows = [(i, "\n".join(kind() for _ in range(60))) for i, kind in enumerate([table, table, wide, wide, plan, plan, log, log])]
+    shared = rows[0][1].split("\n")[7]
+    got = {r["doc_id"]: r["text"] for r in line_templates.without_recurring_lines(make(rows + [(20, f"{shared}\n1 2 3 4 5")])).collect()}
+    assert all(got[i] == text for i, text in rows) and got[20] == "1 2 3 4 5"
+
+
 def test_paragraphs_are_inserted_and_deleted():
     a, b, both = fingerprints.fingerprint(["one two three four", "five six\nseven", "seven\none two three four\nfive six"])
     assert fingerprints.combine(a, b) == both
