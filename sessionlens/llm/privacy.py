@@ -1,15 +1,15 @@
 """Sanitising personal data by what words disclose (operator 1).
 
 Protected entities are the e-mail addresses, ip addresses, card and phone numbers that patterns and checks find.
-How strongly a word reveals an entity is estimated from the whole corpus: with N documents, c(e) distinct contexts
-of the entity, df(t) documents with the word, and c(e, t) contexts of the entity with the word, the word discloses
-the share log(c(e,t) N / (c(e) df(t))) / log(N / c(e)) of the entity's information. Words of a share of at least
-``GENERALISE`` become a placeholder, from ``REMOVE`` on they go, in every document that names the entity. Contexts
-are the ``NEAR`` words before and after, equal contexts count once (so copies are no evidence), and a word needs
-``SUPPORT`` of them.
+How strongly a word reveals an entity is estimated from all distinct texts (so copies are no evidence, neither for
+nor against): with N texts, c(e) of them with the entity, df(t) with the word, and c(e, t) with both, the word
+discloses the share log(c(e,t) N / (c(e) df(t))) / log(N / c(e)) of the entity's information. Words of a share of at
+least ``GENERALISE`` become a placeholder, from ``REMOVE`` on they go, in every document that names the entity. A word
+needs ``SUPPORT`` texts. As further evidence c(e) and c(e, t) are also counted over the distinct contexts of the
+entity, the ``NEAR`` words before and after, of which one text can have several; the larger share counts.
 
-Built from SQL functions only. Tables are reduced before every shuffle: texts are never moved, but for those that
-hold a word to be treated.
+Built from SQL functions only. Tables are reduced before every shuffle: of texts only the hashes of their distinct
+words are moved, but for those that hold a word to be treated; pairs are made of words that are rare enough to disclose.
 
 Cases: a null text has no spans and stays null; repeated rows get equal spans; null ids are matched null-safely; an
 empty table gives an empty result; columns named like an output are replaced, others stay.
@@ -117,17 +117,31 @@ def found_entities(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def disclosing_terms(df: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """(entity, term, share) of all words that reveal an entity beyond ``GENERALISE``; entity and term as hashes."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    words = F.array_distinct(F.transform(terms(whole), lambda w: F.xxhash64(w)))
+    texts = stage(df.select(F.xxhash64(whole).alias("hash"), words.alias("words")).dropDuplicates(["hash"]), "text-terms")
+    n = texts.count()
+    counts = stage(texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "counts")
+
+    names = found.select("hash", F.explode("near.entity").alias("entity")).distinct()
+    known = names.groupBy("entity").agg(F.count("*").alias("ce")).where((F.col("ce") >= SUPPORT) & (F.col("ce") < n))
+    named = stage(names.join(known, "entity"), "named")
+    # the share is at most log(n / df) / log(n / ce), so a more frequent word can't reach GENERALISE
+    most = lambda ce: 1.000001 * F.pow(F.lit(float(n)), F.lit(1 - GENERALISE)) * F.pow(F.col(ce), F.lit(GENERALISE))
+    per_text = named.groupBy("hash").agg(F.max("ce").alias("most"))
+    rare = texts.join(per_text, "hash").select("hash", "most", F.explode("words").alias("term"))
+    rare = rare.join(counts.where(F.col("df") >= SUPPORT), "term").where(F.col("df") <= most("most")).select("hash", "term", "df")
+    together = rare.join(named, "hash").where(F.col("df") <= most("ce")).groupBy("entity", "term", "ce", "df").agg(F.count("*").alias("cet"))
+
     contexts = found.select(F.explode("near").alias("n")).select("n.entity", "n.words").distinct()
-    known = contexts.groupBy("entity").agg(F.count("*").alias("ce"))
+    around = contexts.groupBy("entity").agg(F.count("*").alias("ce"))
     pairs = contexts.select("entity", F.explode("words").alias("term")).groupBy("entity", F.xxhash64("term").alias("term")).agg(F.count("*").alias("cet"))
-    pairs = stage(pairs.where(F.col("cet") >= SUPPORT).join(known, "entity"), "pairs")
-    n = df.count()
-    words = F.array_distinct(F.transform(terms(F.col(text)), lambda w: F.xxhash64(w)))
-    counts = df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    wanted = counts.join(pairs.select("term").distinct(), "term")
+    near = stage(pairs.where(F.col("cet") >= SUPPORT).join(around, "entity"), "pairs").where(F.col("ce") < n).join(counts, "term")
+
     share = F.log(F.col("cet") * n / (F.col("ce") * F.greatest("df", "cet"))) / F.log(F.lit(n) / F.col("ce"))
-    scored = pairs.join(wanted, "term").where(F.col("ce") < n).withColumn("share", share)
-    return stage(scored.where(F.col("share") >= GENERALISE).select("entity", "term", "share"), "disclosing")
+    every = together.where(F.col("cet") >= SUPPORT).unionByName(near.select(*together.columns)).withColumn("share", share)
+    best = every.where(F.col("share") >= GENERALISE).groupBy("entity", "term").agg(F.max("share").alias("share"))
+    return stage(best, "disclosing")
 
 
 def term_spans(df: DataFrame, found: DataFrame, disclosing: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,6 +83,26 @@ def test_overlapping_spans_share_a_mask(make, clash, odd):
     assert privacy.sanitised(clash).columns == clash.columns and privacy.sanitised(clash).count() == odd.count()
 
 
+def test_copies_hide_no_disclosing_word(make):
+    """A word in three texts with its entity, each copied 60 times, among 300 others."""
+    filler = lambda i: f"plain words number{i} about things and more things"
+    rows = [(i, filler(i)) for i in range(300)]
+    rows += [(1000 + i, f"wrote Zorblaxia about case {'abc'[i % 3] * 4} to zx@home.example today") for i in range(180)]
+    got = {r["doc_id"]: r["text"] for r in privacy.sanitised(make(rows)).collect()}
+    assert all("Zorblaxia" not in got[1000 + i] and "zx@" not in got[1000 + i] for i in range(180))
+    assert all(got[i] == filler(i) for i in range(300))
+
+
+def test_names_far_from_the_entity_and_repeated_footers(make):
+    """A salutation whose address stands 80 words further down, after which every text has one and the same footer."""
+    body = lambda i: " ".join(f"common{'abcdefghij'[k % 10]}" for k in range(80)) + f" case{i}"
+    footer = "\nbest regards from the office, " * 3 + "ring Quuxley at q@home.example\n"
+    rows = [(i, body(i)) for i in range(300)] + [(1000 + i, f"Dear Zorblaxia, {body(1000 + i)}{footer}") for i in range(5)]
+    got = {r["doc_id"]: r["text"] for r in privacy.sanitised(make(rows)).collect()}
+    assert all("Zorblaxia" not in got[1000 + i] and "Quuxley" not in got[1000 + i] and "commona" in got[1000 + i] for i in range(5))
+    assert all(got[i] == body(i) for i in range(300))
+
+
 def measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
