@@ -30,7 +30,7 @@ def sides(rows: int) -> tuple[int, int]:
 
 def feistel(number: Column, a: int, b: int, seed: int) -> Column:
     """One pass of the network over 0..a*b-1."""
-    start = F.struct((number / b).cast("long").alias("l"), (number % b).alias("r")) if a * b < 1 << 50 else F.struct(F.expr("0L").alias("l"), number.alias("r"))
+    start = F.struct(F.call_function("div", number, F.lit(b)).alias("l"), (number % b).alias("r"))
 
     def turn(state: Column, i: Column) -> Column:
         left, right = state["l"], state["r"]
@@ -46,6 +46,8 @@ def permuted(df: DataFrame, number: str, rows: int, seed: int, name: str = "perm
 
     The longest walk outside 0..rows-1 is measured first, on the at most a points outside, so that no walk is cut.
     """
+    if not rows:  # no number is below 0, so a walk would never end
+        return df.withColumn(name, F.col(number))
     spark = df.sparkSession
     a, b = sides(rows)
     walks, outside = 0, spark.range(rows, a * b, 1, partitions(spark)).toDF("x")
@@ -101,5 +103,5 @@ def shard(df: DataFrame, shards: int = 8, seed: int = 42, doc_id: str = "doc_id"
     return placed.select(
         "doc_id", "size", "text_crc32", "row_number",
         (F.col("permuted") % shards).cast("int").alias("shard"),
-        (F.col("permuted") / shards).cast("long").alias("slot"),
+        F.call_function("div", F.col("permuted"), F.lit(shards)).cast("long").alias("slot"),
     )

@@ -2,11 +2,13 @@
 
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sessionlens.llm import language, privacy, quality, rules, sharding
@@ -154,6 +156,36 @@ def test_shards_are_a_permutation(spark, rows):
         assert sum(8 * r["slot"] + r["shard"] != r["row_number"] for r in got) > 900
 
 
+def plain_network(x, a, b, seed):
+    """The network in plain Python: XXH64 over the half, the round and the seed."""
+    left, right = divmod(x, b)
+    for i in range(sharding.ROUNDS):
+        h = 42
+        for part in (struct.pack("<q", left if i % 2 else right), struct.pack("<i", i), struct.pack("<i", seed)):
+            h = xxhash.xxh64_intdigest(part, h)
+        h -= (1 << 64) if h >> 63 else 0
+        left, right = (left, (right + h % b) % b) if i % 2 else ((left + h % a) % a, right)
+    return left * b + right
+
+
+@pytest.mark.parametrize("a,b,first", [(5, 7, 0), (31, 33, 0), (1 << 26, (1 << 26) + 3, 1 << 40), (1 << 30, 1 << 31, (1 << 61) - 900)])
+def test_the_network_against_plain_python(spark, a, b, first):
+    n = min(a * b, 1500) if first == 0 else 900
+    got = {r["id"]: r["p"] for r in spark.range(first, first + n).select("id", sharding.feistel(F.col("id"), a, b, 42).alias("p")).collect()}
+    assert got == {x: plain_network(x, a, b, 42) for x in range(first, first + n)}
+    assert len(set(got.values())) == n and all(0 <= p < a * b for p in got.values())
+
+
+def test_shards_against_plain_python(spark, make):
+    rows = 500
+    a, b = sharding.sides(rows)
+    for r in sharding.shard(make([(i * 3, f"text {i}") for i in range(rows)])).collect():
+        x = plain_network(r["row_number"], a, b, 42)
+        while x >= rows:
+            x = plain_network(x, a, b, 42)
+        assert (r["shard"], r["slot"]) == (x % 8, x // 8)
+
+
 def test_shards_on_odd_rows(odd, none, clash):
     got = sharding.shard(clash).collect()
     assert len(got) == odd.count() and sharding.shard(none).count() == 0
