@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import alignment, bpe, fingerprints, language, line_templates, near_dups, packing, privacy, quality, rules, sharding
+from sessionlens.llm import alignment, bpe, fingerprints, language, line_templates, near_dups, packing, privacy, quality, rules, sharding, spelling
 from sessionlens.llm.common import fold, table
 from sessionlens.llm.registry import query
 
@@ -172,3 +172,8 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.aligned(docs, tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
     digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256)).alias("groups_sha256")
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *alignment.NUMBERS, "n_best", "count_sum", digest)
+
+
+@query("op12_spelling")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), damaged=spelling.DAMAGED)
