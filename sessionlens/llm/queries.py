@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import alignment, bpe, fingerprints, language, line_templates, near_dups, packing, privacy, quality, rules, sharding, spelling
+from sessionlens.llm import alignment, bpe, fingerprints, language, line_templates, mixing, near_dups, packing, privacy, quality, rules, sharding, spelling
 from sessionlens.llm.common import fold, table
 from sessionlens.llm.registry import query
 
@@ -177,3 +177,9 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_spelling")
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), damaged=spelling.DAMAGED)
+
+
+@query("op13_mixing")
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
