@@ -24,9 +24,8 @@ table gives an empty result; columns named like an output are replaced, others s
 from __future__ import annotations
 
 import json
-import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -35,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlens.llm.bpe import byte_letters
+from sessionlens.llm.bpe import PIECES, byte_letters
 from sessionlens.llm.common import add_columns, field, gather, mix, partitions, slices
 from sessionlens.session import stage
 
 #: Chunks, and bytes of chunks, remembered per Python worker; only speed depends on it.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 32 << 20
-#: Chunks that a library encodes in one call; its results are large while they live.
-CALL = 8192
+REMEMBERED, REMEMBERED_BYTES = 300_000, 32 << 20
+#: Chunks in a line that library B encodes as one; much longer lines cost it more.
+LINE = 64
 #: Bytes of text that a task aligns at once.
 SLICE = 4 << 20
 #: Distinct pairs that a task of the first pass holds before it passes sums on.
@@ -55,23 +54,24 @@ SPARE = 1.5
 BORDER = re.compile(r"(?<=\S)(?= )")
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 class Aligner:
     """Tokens of both vocabularies, aligned chunk by chunk and remembered under a number per chunk."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallel work
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
         with open(path_a, encoding="utf-8") as file:
             content = json.load(file)
         letters = byte_letters()
         known = {**{t["id"]: t["content"].encode() for t in content["added_tokens"]}, **{i: bytes(letters[c] for c in t) for t, i in content["model"]["vocab"].items()}}
         bytes_a = [known.get(i, b"") for i in range(1 + max(known))]
+        self.ids_a = self.coder_a(path_a, content, bytes_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces]
@@ -82,9 +82,48 @@ class Aligner:
         numbers_a, numbers_b = [str(i) for i in range(self.size_a)], [str(i) for i in range(self.size_b)]
         #: Decimal ids with what follows them: inside A, at the end of A, inside B, at the end of B.
         self.shown = [f"{n}{mark}" for numbers, mark in ((numbers_a, ","), (numbers_a, "|"), (numbers_b, ","), (numbers_b, ";")) for n in numbers]
-        self.generation = 0
+        self.generation, self.shows = 0, True
         self.forget()
 
+    @staticmethod
+    def coder_a(path: str, content: dict, tokens: list[bytes]) -> Callable[[str], list[int]]:
+        """Encodes a text by vocabulary A without special tokens.
+
+        Where ids follow the order of the merges, as they do in a vocabulary of ranks, the faster library gives the same ids.
+        """
+        vocab = content["model"]["vocab"]
+        merges = ["".join(m.split(" ") if isinstance(m, str) else m) for m in content["model"]["merges"]]
+        made = [vocab[m] for m in merges]
+        if made == sorted(set(made)) and max(vocab[c] for c in byte_letters()) < made[0]:
+            import tiktoken
+
+            ranks = {tokens[i]: i for i in vocab.values()}
+            special = {tokens[t["id"]] for t in content["added_tokens"]}
+            ranks = {b: i for b, i in ranks.items() if b not in special}
+            return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.no_truncation()
+        own.no_padding()
+        own.encode_special_tokens = True
+        return lambda text: own.encode(text, add_special_tokens=False).ids
+
+    def ids_b(self, text: str) -> list[int]:
+        """Ids by vocabulary B of a text that begins with the space which B adds."""
+        return self.b.encode(text[1:], num_threads=1) or [self.space_b]
+
+    def together_a(self, chunks: list[str]) -> list[int]:
+        return self.ids_a("".join(chunks))
+
+    def together_b(self, chunks: list[str]) -> list[int]:
+        lines = ["".join(chunks[i : i + LINE])[1:] for i in range(0, len(chunks), LINE)]
+        return list(chain.from_iterable(self.b.encode(lines, num_threads=1)))
+
+    def apart(self, chunk: str) -> bool:
+        """Whether a chunk must be encoded alone: a border after it may not hold, or B won't give its bytes back."""
+        return not self.parted or chunk[-1].isspace() or "▁" in chunk
+
     @staticmethod
     def layout(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = np.array([len(t) for t in tokens], dtype=np.int64)
@@ -102,57 +141,74 @@ class Aligner:
 
     def learn(self, new: list[str]) -> None:
         """Align chunks, each of which begins with a space, and append them to the memory."""
-        in_a = [e.ids for i in range(0, len(new), CALL) for e in self.a.encode_batch(new[i : i + CALL], add_special_tokens=False)]
-        in_b = [ids or [self.space_b] for ids in self.b.encode([c[1:] for c in new], num_threads=1)]
+        alone = list(map(self.apart, new))
+        together = alone.count(False)
+        if together < len(new):
+            new = [c for c, x in zip(new, alone) if not x] + [c for c, x in zip(new, alone) if x]
         raw = [c.encode() for c in new]
         size = np.array([len(r) for r in raw], dtype=np.int64)
         self.held_bytes += int(size.sum())
         valid = np.ones(len(new), dtype=bool)
         flats, counts = [], []
-        for ids, (data, starts, sizes) in zip((in_a, in_b), self.bytes):
-            count = np.array([len(x) for x in ids], dtype=np.int64)
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(count.sum()))
-            owner = np.repeat(np.arange(len(new)), count)
-            joined = gather(data, starts, sizes, flat)
-            long = np.bincount(owner, weights=sizes[flat], minlength=len(new)).astype(np.int64)
-            if not np.array_equal(long, size) or joined.tobytes() != b"".join(raw):
-                at = np.cumsum(long).tolist()
-                text = joined.tobytes()
-                valid &= np.array([text[i:j] == r for i, j, r in zip([0, *at], at, raw)], dtype=bool)
-            flats.append((flat, owner, sizes))
-            counts.append(count)
+        for encode, many, (data, starts, sizes) in zip((self.ids_a, self.ids_b), (self.together_a, self.together_b), self.bytes):
+            flat, count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+            if together:  # chunks whose borders hold are encoded in one go; their token ends say where each stops
+                flat = np.array(many(new[:together]), dtype=np.int64)
+                ends, stops = np.cumsum(sizes[flat]), np.cumsum(size[:together])
+                last = np.searchsorted(ends, stops)
+                if gather(data, starts, sizes, flat).tobytes() == b"".join(raw[:together]) and np.array_equal(ends[last], stops):
+                    count = np.diff(last, prepend=-1)
+                else:
+                    flat = flat[:0]
+            apart = [encode(c) for c in new[len(count) :]]
+            more = np.array([len(x) for x in apart], dtype=np.int64)
+            rest = np.fromiter(chain.from_iterable(apart), dtype=np.int64, count=int(more.sum()))
+            flat, counted = np.concatenate([flat, rest]), np.concatenate([count, more])
+            if apart:
+                owner = np.repeat(np.arange(len(apart)), more)
+                at = np.cumsum(np.bincount(owner, weights=sizes[rest], minlength=len(apart)).astype(np.int64)).tolist()
+                text = gather(data, starts, sizes, rest).tobytes()
+                valid[len(count) :] &= np.array([text[i:j] == r for i, j, r in zip([0, *at], at, raw[len(count) :])], dtype=bool)
+            flats.append((flat, np.repeat(np.arange(len(new)), counted), sizes))
+            counts.append(counted)
         ends, tokens = [], []
         base = np.cumsum(np.where(valid, size, 0))
         for flat, owner, sizes in flats:
             keep = valid[owner]
             tokens.append(flat[keep])
             ends.append(np.cumsum(sizes[flat[keep]]))
-        both = np.union1d(*ends)
+        both = distinct(np.concatenate(ends))
         links = tokens[0][np.searchsorted(ends[0], both)] * self.size_b + tokens[1][np.searchsorted(ends[1], both)] if len(both) else np.zeros(0, dtype=np.int64)
         n_links = np.bincount(np.searchsorted(base, both), minlength=len(new)) if len(both) else np.zeros(len(new), dtype=np.int64)
-        shared = np.intersect1d(*ends)
+        shared = ends[0][np.searchsorted(ends[1], ends[0], side="right") > np.searchsorted(ends[1], ends[0])]
         n_groups = np.bincount(np.searchsorted(base, shared), minlength=len(new)) if len(shared) else np.zeros(len(new), dtype=np.int64)
-        in_group = [np.searchsorted(shared, e) for e in ends]
-        last = [np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, dtype=bool) for g in in_group]
-        codes = np.concatenate([tokens[0] + self.size_a * last[0], 2 * self.size_a + tokens[1] + self.size_b * last[1]])
-        order = np.argsort(np.concatenate([2 * in_group[0], 2 * in_group[1] + 1]), kind="stable")
-        shown = list(map(self.shown.__getitem__, codes[order].tolist()))
-        per_chunk = np.where(valid, counts[0] + counts[1], 0)
-        at = np.cumsum(per_chunk).tolist()
-        self.number.update(zip(new, range(len(self.groups), len(self.groups) + len(new))))
-        self.groups.extend("".join(shown[i:j]) for i, j in zip([0, *at], at))
+        if self.shows:
+            in_group = [np.searchsorted(shared, e) for e in ends]
+            last = [np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, dtype=bool) for g in in_group]
+            codes = np.concatenate([tokens[0] + self.size_a * last[0], 2 * self.size_a + tokens[1] + self.size_b * last[1]])
+            order = np.argsort(np.concatenate([2 * in_group[0], 2 * in_group[1] + 1]), kind="stable")
+            shown = list(map(self.shown.__getitem__, codes[order].tolist()))
+            at = np.cumsum(np.where(valid, counts[0] + counts[1], 0)).tolist()
+            self.groups.extend("".join(shown[i:j]) for i, j in zip([0, *at], at))
+        self.number.update(zip(new, range(len(self.valid), len(self.valid) + len(new))))
         self.link_starts = np.concatenate([self.link_starts, len(self.links) + np.cumsum(n_links) - n_links])
         self.links = np.concatenate([self.links, links])
         self.valid = np.concatenate([self.valid, valid])
         rows = np.stack([np.where(valid, counts[0], 0), np.where(valid, counts[1], 0), n_groups, n_links])
         self.counts = np.concatenate([self.counts, rows], axis=1)
 
-    def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Chunk numbers of all texts, the text that each belongs to, and which texts have tokens."""
+    def numbers(self, texts: pa.Array, shows: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk numbers of all texts, the text that each belongs to, and which texts have tokens.
+
+        ``shows``: the chunks' groups are wanted as text.
+        """
+        if shows != self.shows:
+            self.shows = shows
+            self.forget()
         if len(self.number) > REMEMBERED or self.held_bytes > REMEMBERED_BYTES:
             self.forget()
         parts = [(BORDER.split(" " + t) if self.parted else [" " + t]) if t else [] for t in texts.to_pylist()]
-        new = list(dict.fromkeys(c for p in parts for c in p if c not in self.number))
+        new = list(set().union(*parts).difference(self.number))
         if new:
             self.learn(new)
         count = np.array([len(p) for p in parts], dtype=np.int64)
@@ -165,12 +221,12 @@ class Aligner:
 
     def pair_sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs, ascending, and in how many of the texts each is linked."""
-        codes, owner, _ = self.numbers(texts)
-        seen = np.unique(owner * len(self.groups) + codes)
-        owner, codes = np.divmod(seen, max(1, len(self.groups)))
+        codes, owner, _ = self.numbers(texts, shows=False)
+        seen = distinct(owner * len(self.valid) + codes)
+        owner, codes = np.divmod(seen, max(1, len(self.valid)))
         sizes = self.counts[3]
         pairs, inverse = np.unique(gather(self.links, self.link_starts, sizes, codes), return_inverse=True)
-        held = np.unique(np.repeat(owner, sizes[codes]) * len(pairs) + inverse)
+        held = distinct(np.repeat(owner, sizes[codes]) * len(pairs) + inverse)
         return pairs, np.bincount(held % max(1, len(pairs)), minlength=len(pairs)).astype(np.int64)
 
 
@@ -456,17 +512,17 @@ def aligned(df: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
             codes, owner, good = own.numbers(texts)
             if memory["generation"] != own.generation:
                 memory.update(generation=own.generation, done=0, links=0, sums=np.zeros((2, 0), dtype=np.int64))
-            if shared is not None and memory["done"] < len(own.groups):
+            if shared is not None and memory["done"] < len(own.valid):
                 new = own.links[memory["links"] :]
-                chunk = np.repeat(np.arange(len(own.groups) - memory["done"]), own.counts[3, memory["done"] :])
+                chunk = np.repeat(np.arange(len(own.valid) - memory["done"]), own.counts[3, memory["done"] :])
                 perfect, counts = shared.value
                 slots = perfect.slots(new)
                 here = slots >= 0
                 n = counts[slots[here]]
                 top = n == best.value[new[here] // own.size_b]
-                size = len(own.groups) - memory["done"]
+                size = len(own.valid) - memory["done"]
                 rows = [np.bincount(chunk[here], weights=w, minlength=size).astype(np.int64) for w in (top, n)]
-                memory.update(done=len(own.groups), links=len(own.links), sums=np.concatenate([memory["sums"], np.stack(rows)], axis=1))
+                memory.update(done=len(own.valid), links=len(own.links), sums=np.concatenate([memory["sums"], np.stack(rows)], axis=1))
             add = lambda values: pa.array(np.bincount(owner, weights=values, minlength=len(texts)).astype(np.int64))
             sums = [add(memory["sums"][k][codes]) if shared is not None else pa.array(np.zeros(len(texts), dtype=np.int64)) for k in (0, 1)]
             return codes, owner, add, sums
