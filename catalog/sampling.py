@@ -83,6 +83,13 @@ def knn_same_class(s: Shapes):
     return nearest_in_class(s.vectors(), "label", "vec_id", "x", 5)
 
 
+@query("knn_in_rounds", ctes(KNN.format("embeddings")) + f"""
+SELECT vec_id, {big('nn_rank', 'nn_rank')}, nn_id, {num('distance', 'distance')} FROM knn WHERE nn_rank <= 5""")
+def knn_in_rounds(s: Shapes):
+    """The same neighbours over cells and shells of about 20 rows, whose blocks are visited in rounds."""
+    return nearest_in_class(s.vectors(), "label", "vec_id", "x", 5, block_rows=20)
+
+
 def _made(target: str, raw: int | None = None) -> list[str]:
     """SMOTE with targets as a CASE over label; ``raw`` leading entries are interpolated."""
     source = "embeddings" if raw is None else f"(SELECT vec_id, label, embedding[1:{raw}] AS embedding FROM embeddings)"

@@ -1,11 +1,14 @@
 """Exact nearest neighbours inside each class.
 
-Rows of a class are placed in the cell of their closest pivot, and cells are split into blocks of
-bounded size. A row first finds its best candidates in its own block, which bounds how far its k-th
-neighbour can be. By the triangle inequality only cells whose pivot distance minus radius is within
-that bound can improve it, so the row is sent to the blocks of those cells and to no others. Each
-block answers with k candidates per visiting row: pairs are compared inside tasks and never
-emitted, and no task holds more than one block and one batch of visitors.
+Rows of a class are placed in the cell of their closest pivot. A cell is cut into shells of about ``block_rows`` rows by
+the distance to its pivot, and a shell that holds more rows than that (equal distances) into parts by hash: a block. A row
+first finds its best candidates in its own block, which bounds how far its k-th neighbour can be. By the triangle
+inequality a block whose shell lies further than that from the row can't improve it.
+
+The blocks that are left are visited in rounds, the nearest first and twice as many each time. After every round the k-th
+distance is smaller, and later visits are dropped by it. A visit is (id, block, turn) until its round comes; only then the vector
+is joined. Blocks answer with k candidates per visitor: pairs are compared inside tasks and never emitted, and no
+task holds more than one block and one batch of visitors.
 """
 
 from __future__ import annotations
@@ -18,7 +21,10 @@ from sessionlens.operators.ordering import has_large_group
 from sessionlens.session import stage
 
 BLOCK_ROWS = 2_000
-MOST_PIVOTS = 256
+MOST_PIVOTS, MOST_SHELLS = 256, 64
+#: What a computed distance may be off by.
+SLACK = 1e-9
+SLOT = ("cls", "cell", "shell", "part")
 
 
 def _block_of(row_id: str, blocks):
@@ -31,25 +37,48 @@ def nearest_in_class(
     """``(row_id, nn_rank 1..k, nn_id, distance)``; ties go to the smaller id. ``row_id`` is a bigint."""
     base = df.select(F.col(label).alias("cls"), F.col(row_id).cast("long").alias("id"), F.col(vector).alias("x"))
     if not has_large_group(base, ["cls"], block_rows):
-        whole = base.select("cls", F.lit(0).alias("cell"), F.lit(0).alias("block"), "id", "x")
+        whole = base.select("cls", *[F.lit(0).alias(c) for c in SLOT[1:]], "id", "x")
         return _within_blocks(whole, k).select(F.col("id").alias(row_id), "nn_rank", "nn_id", "distance")
 
     pivots = _pivots(base, block_rows)
     placed = stage(_closest_pivot(base, pivots), "cells")
-    cells = placed.groupBy("cls", "cell").agg(
-        F.max("reach").alias("radius"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    # at most MOST_PIVOTS rows per class
-    blocked = placed.join(F.broadcast(cells), ["cls", "cell"]).withColumn("block", _block_of("id", F.col("blocks")))
-    own = stage(_within_blocks(blocked.select("cls", "cell", "block", "id", "x"), k), "own-block")
-    bound = own.where(F.col("nn_rank") == k).select("id", F.col("distance").alias("bound"))
-    rows = blocked.select("cls", "id", "x", "cell", "block").join(bound, "id", "left")
-    visits = stage(_visits(rows, cells, pivots), "visits")
-    found = own.select("id", "nn_id", "distance").unionByName(_across_blocks(visits, blocked, k, block_rows))
-    best = Window.partitionBy("id").orderBy("distance", "nn_id")
-    return (
-        found.withColumn("nn_rank", F.row_number().over(best)).where(F.col("nn_rank") <= k)
-        .select(F.col("id").alias(row_id), "nn_rank", "nn_id", "distance")
-    )
+    blocked, shells = _blocks(placed, block_rows)
+    best = stage(_within_blocks(blocked, k).select("id", "nn_id", "distance"), "own-block")
+    visits = stage(_visits(blocked.join(_bounds(best, k), "id", "left"), shells, pivots), "visits")
+    last, first, until = visits.agg(F.max("turn")).first()[0] or 0, 1, 2
+    ranked = Window.partitionBy("id").orderBy("distance", "nn_id")
+    while first <= last:
+        now = visits.where(F.col("turn").between(first, until)).join(_bounds(best, k), "id", "left")
+        now = now.where(F.col("gap") <= F.coalesce("bound", F.lit(float("inf"))) + SLACK).select("id", *SLOT)
+        found = _across_blocks(now, blocked, k, block_rows)
+        merged = best.unionByName(found).withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k)
+        best = stage(merged.drop("_r"), "nearest")
+        first, until = until + 1, 2 * until + 1
+    return best.withColumn("nn_rank", F.row_number().over(ranked)).select(F.col("id").alias(row_id), "nn_rank", "nn_id", "distance")
+
+
+def _bounds(best: DataFrame, k: int) -> DataFrame:
+    """The distance of the k-th candidate of every row that has k."""
+    return best.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("bound")).where(F.col("_n") >= k).drop("_n")
+
+
+def _blocks(placed: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with their shell and part, and (cls, cell, shell, lo, hi, parts) of every shell.
+
+    A cell has at most MOST_SHELLS of them, so this table and its broadcasts are bounded by the pivots.
+    """
+    steps = F.least(F.lit(MOST_SHELLS), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int")
+    every = F.array(*[F.lit(i / MOST_SHELLS) for i in range(1, MOST_SHELLS)])
+    cells = placed.groupBy("cls", "cell").agg(steps.alias("steps"), F.percentile_approx("reach", every, 10_000).alias("marks"))
+    cells = stage(cells.select("cls", "cell", F.expr(
+        f"transform(sequence(1, greatest(steps - 1, 1)), i -> if(steps > 1, marks[int(i * {MOST_SHELLS} / steps) - 1], double('inf')))").alias("cuts")), "cell-cuts")
+    shelled = placed.join(cells, ["cls", "cell"]).withColumn(
+        "shell", F.size(F.filter("cuts", lambda c: c < F.col("reach"))).cast("int")).drop("cuts")
+    shells = shelled.groupBy("cls", "cell", "shell").agg(
+        F.min("reach").alias("lo"), F.max("reach").alias("hi"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    shells = stage(shells, "shells")
+    blocked = shelled.join(shells, ["cls", "cell", "shell"]).withColumn("part", _block_of("id", F.col("parts")))
+    return stage(blocked.select(*SLOT, "id", "x"), "blocks"), shells
 
 
 def _pivots(base: DataFrame, block_rows: int) -> dict:
@@ -122,16 +151,16 @@ def _within_blocks(blocked: DataFrame, k: int) -> DataFrame:
         points, ids = np.stack(pdf["x"].to_numpy()), pdf["id"].to_numpy()
         return pd.DataFrame(top(points, ids, points, ids), columns=["id", "nn_rank", "nn_id", "distance"])
 
-    return blocked.groupBy("cls", "cell", "block").applyInPandas(
+    return blocked.groupBy(*SLOT).applyInPandas(
         search, "id long, nn_rank int, nn_id long, distance double")
 
 
-def _visits(rows: DataFrame, cells: DataFrame, pivots: dict) -> DataFrame:
-    """(row, block) for every other block that may hold a closer neighbour."""
-    # one entry per cell: at most MOST_PIVOTS per class
+def _visits(rows: DataFrame, shells: DataFrame, pivots: dict) -> DataFrame:
+    """(id, block, gap, turn) for every other block that may hold a closer neighbour, the nearest first."""
+    # at most MOST_PIVOTS * MOST_SHELLS entries per class
     shape: dict = {}
-    for r in cells.select("cls", "cell", "radius", "blocks").collect():
-        shape.setdefault(r["cls"], []).append((r["cell"], r["radius"], r["blocks"]))
+    for r in shells.select("cls", "cell", "shell", "lo", "hi", "parts").orderBy("cell", "shell").collect():
+        shape.setdefault(r["cls"], []).append(tuple(r)[1:])
     shared = rows.sparkSession.sparkContext.broadcast((pivots, shape))
 
     def choose(batches):
@@ -140,34 +169,39 @@ def _visits(rows: DataFrame, cells: DataFrame, pivots: dict) -> DataFrame:
 
         pivot_of, shape_of = shared.value
         for pdf in batches:
-            parts = []
-            bound = pdf["bound"].fillna(np.inf).to_numpy() + 1e-9
+            bound = pdf["bound"].fillna(np.inf).to_numpy() + SLACK
             for name in pdf["cls"].unique():
-                at = np.flatnonzero((pdf["cls"] == name).to_numpy())
-                points = np.stack(pdf["x"].to_numpy()[at])
-                for cell, radius, blocks in shape_of[name]:
-                    gap = np.sqrt(((points - np.asarray(pivot_of[name][cell])) ** 2).sum(axis=1)) - radius
-                    near = pdf.iloc[at[gap <= bound[at]]]
-                    for block in range(blocks):
-                        other = near[(near["cell"] != cell) | (near["block"] != block)]
-                        parts.append(other[["cls", "id", "x"]].assign(cell=cell, block=block))
-            if parts:
-                yield pd.concat(parts)
+                every = np.flatnonzero((pdf["cls"] == name).to_numpy())
+                cell, shell, lo, hi, parts = (np.array(c) for c in zip(*shape_of[name]))
+                block_shell = np.repeat(np.arange(len(parts)), parts)
+                block_part = np.arange(len(block_shell)) - np.repeat(np.cumsum(parts) - parts, parts)
+                for at in np.array_split(every, -(-len(every) // 256)):
+                    points, own = np.stack(pdf["x"].to_numpy()[at]), pdf[["cell", "shell", "part"]].to_numpy()[at]
+                    far = np.stack([np.sqrt(((points - np.asarray(p)) ** 2).sum(axis=1)) for p in pivot_of[name]], axis=1)[:, cell]
+                    gap = np.maximum(np.maximum(far - hi, lo - far), 0.0)[:, block_shell]
+                    own_block = (cell[block_shell] == own[:, :1]) & (shell[block_shell] == own[:, 1:2]) & (block_part == own[:, 2:])
+                    who, where = np.nonzero((gap <= bound[at][:, None]) & ~own_block)
+                    order = np.lexsort((where, gap[who, where], who))
+                    who, where = who[order], where[order]
+                    first = np.searchsorted(who, who)
+                    yield pd.DataFrame({
+                        "cls": np.repeat(pdf["cls"].to_numpy()[at[:1]], len(who)), "cell": cell[block_shell[where]], "shell": shell[block_shell[where]],
+                        "part": block_part[where], "id": pdf["id"].to_numpy()[at[who]], "gap": gap[who, where], "turn": np.arange(len(who)) - first + 1})
 
     kind = rows.schema["cls"].dataType.simpleString()
-    return rows.mapInPandas(choose, f"cls {kind}, id long, x array<double>, cell int, block int")
+    return rows.mapInPandas(choose, f"cls {kind}, cell int, shell int, part int, id long, gap double, turn int")
 
 
 def _across_blocks(visits: DataFrame, blocked: DataFrame, k: int, block_rows: int) -> DataFrame:
     """Compare visitors with the rows of a block; a block with many visitors is copied so that each
     task gets about ``block_rows`` of them."""
-    slot = ["cls", "cell", "block"]
-    crowds = visits.groupBy(*slot).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    crowds = visits.groupBy(*SLOT).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parties"))
     # one row per block, i.e. rows / block_rows: left to the size seen at run time
-    guests = visits.join(crowds, slot).withColumn("part", _block_of("id", F.col("parts")))
-    copies = crowds.select(*[F.col(c).alias(c) for c in slot], F.col("parts").alias("copies"))
-    hosts = blocked.select(*[F.col(c).alias(c) for c in slot], F.col("id").alias("id"), F.col("x").alias("x")).join(
-        copies, slot).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    guests = visits.join(crowds, list(SLOT)).withColumn("party", _block_of("id", F.col("parties")))
+    guests = guests.join(blocked.select("id", "x"), "id").select(*SLOT, "party", "id", "x")
+    copies = crowds.select(*[F.col(c).alias(c) for c in SLOT], F.col("parties").alias("copies"))
+    hosts = blocked.select(*[F.col(c).alias(c) for c in SLOT], F.col("id").alias("id"), F.col("x").alias("x")).join(
+        copies, list(SLOT)).withColumn("party", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     top = _top(k)
 
     def search(left, right):
@@ -180,5 +214,5 @@ def _across_blocks(visits: DataFrame, blocked: DataFrame, k: int, block_rows: in
                        np.stack(right["x"].to_numpy()), right["id"].to_numpy())
         return pd.DataFrame([(r[0], r[2], r[3]) for r in rows], columns=["id", "nn_id", "distance"])
 
-    return guests.groupBy(*slot, "part").cogroup(hosts.groupBy(*slot, "part")).applyInPandas(
+    return guests.groupBy(*SLOT, "party").cogroup(hosts.groupBy(*SLOT, "party")).applyInPandas(
         search, "id long, nn_id long, distance double")

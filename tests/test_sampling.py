@@ -32,6 +32,39 @@ def test_neighbours_are_exact_when_cells_are_pruned_and_split(points, block):
     assert [(r["id"], r["nn_rank"], r["nn_id"]) for r in got] == want
 
 
+def test_rounds_prune_visits_and_stay_exact(spark, monkeypatch):
+    """Clustered points: later rounds are dropped by the bound of the earlier ones, and visits carry no vector."""
+    from sessionlens.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6)) * 30
+    x = centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 6))
+    df = spark.createDataFrame([(i, 0, [float(v) for v in p]) for i, p in enumerate(x)], "id long, y int, x array<double>")
+    done, plain = [], neighbours._across_blocks
+
+    def counted(visits, *rest):
+        assert "x" not in visits.columns
+        done.append(visits.count())
+        return plain(visits, *rest)
+
+    monkeypatch.setattr(neighbours, "_across_blocks", counted)
+    got = nearest_in_class(df, "y", "id", "x", 4, block_rows=60).collect()
+    blocks = 1500 / 60
+    assert len(done) >= 2 and sum(done) < 0.3 * 1500 * (blocks - 1)
+    near = {(r["id"], r["nn_rank"]): r["nn_id"] for r in got}
+    assert len(near) == 4 * 1500
+    apart = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    order = np.argsort(apart, axis=1, kind="stable")[:, :4]
+    assert all(near[i, r + 1] == order[i, r] for i in range(1500) for r in range(4))
+
+
+def test_equal_points_are_parted_by_hash(spark):
+    df = spark.createDataFrame([(i, 0, [1.0, 2.0]) for i in range(90)] + [(100 + i, 0, [5.0, float(i)]) for i in range(5)], "id long, y int, x array<double>")
+    got = {(r["id"], r["nn_rank"]): r["nn_id"] for r in nearest_in_class(df, "y", "id", "x", 2, block_rows=10).collect()}
+    assert got[50, 1] == 0 and got[50, 2] == 1 and got[0, 1] == 1 and got[103, 1] == 102
+
+
 def test_undersample_is_exact_and_repeatable(points):
     first = sampling.undersample(points, "y", "id", {0: 60})
     counts = {r["y"]: r["count"] for r in first.groupBy("y").count().collect()}
