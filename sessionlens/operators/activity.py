@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionlens.functions import calendar, content
 from sessionlens.functions.activity import CONNECT, DISCONNECT, activity_code, pc_code
 from sessionlens.operators import ordering
+from sessionlens.operators.skew import join_by_key
 from sessionlens.operators.ordering import Sliced
 
 SESSION_KEYS = ["week", "user", "pcid"]
@@ -57,16 +58,16 @@ def usb_durations(sliced: Sliced) -> Sliced:
     return sliced.of(nxt.withColumn("usb_dur", F.when(paired, seconds).otherwise(0).cast("long")).drop("_usb"))
 
 
-def with_user(rows: DataFrame, users: DataFrame) -> DataFrame:
+def with_user(rows: DataFrame, users: DataFrame, limit: int | None = None) -> DataFrame:
     """User columns of each row: index, computer code and insider scenario at that time.
 
-    ``users`` is a staged table, so its size is known and Spark broadcasts it only when it fits;
-    beyond that the join shuffles and adaptive execution splits a user that dominates.
+    ``users`` is a staged table: broadcast while it is small, else joined with the rows of a user above ``limit``
+    dealt over several tasks.
     """
     own = users.select("user", "user_int", F.col("pc").alias("_own"), "sharedpc", "sup_pc", "malscene", "mstart", "mend")
     inside = (F.col("malscene") > 0) & F.col("time_stamp").between(F.col("mstart"), F.col("mend"))
     return (
-        rows.join(own, "user", "left")
+        join_by_key(rows, own, "user", limit)
         .withColumn("pc", pc_code(F.col("pcid"), F.col("_own"), F.col("sharedpc"), F.col("sup_pc")))
         .withColumn("insider", F.when(inside, F.col("malscene")).otherwise(0))
         .withColumn("user_int", F.coalesce("user_int", F.lit(-1)).cast("long"))
@@ -83,7 +84,7 @@ def with_malicious_flag(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def numeric_activity(unified_weeks: DataFrame, users: DataFrame, pairs: DataFrame, limit: int | None = None) -> DataFrame:
     """The 30 numeric columns of an activity row, with ``week``."""
     sliced = ordering.with_slices(row_features(unified_weeks), SESSION_KEYS, AXIS, limit)
-    rows = with_malicious_flag(with_user(usb_durations(sliced).df, users), pairs)
+    rows = with_malicious_flag(with_user(usb_durations(sliced).df, users, limit), pairs)
     return rows.select(
         "week", "actid", "pcid", "time_stamp", F.col("user_int").alias("user"), "day", "act", "pc", "time",
         *FEATURES, "mal_act", "insider",

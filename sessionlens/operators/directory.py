@@ -113,7 +113,7 @@ def with_insider_interval(people: DataFrame, insiders: DataFrame) -> DataFrame:
 def ordinal_codes(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
     """Distinct values of a string column with their position in sorted order (null has none)."""
     values = df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").alias("value")).distinct()
-    return ordering.global_index(values, ordering.text_axis("value"), "code", limit, bound=df)
+    return ordering.text_index(values, ["value"], "code", limit, bound=df)
 
 
 def ordinal_encode(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def ordinal_encode(df: DataFrame, columns: list[str], limit: int | None = None)
 
 def user_index(people: DataFrame, limit: int | None = None) -> DataFrame:
     """user → dense integer in user order."""
-    return ordering.global_index(people.select("user"), ordering.text_axis("user"), "user_int", limit, bound=people)
+    return ordering.text_index(people.select("user"), ["user"], "user_int", limit, bound=people)
 
 
 def user_static(people: DataFrame) -> DataFrame:

@@ -71,12 +71,6 @@ def hash_axis(digest: str, *ties: str) -> Axis:
     return Axis((digest, *ties), f"conv(substr({digest}, 1, 8), 16, 10)", 1 << 16)
 
 
-def text_axis(text: str, *ties: str) -> Axis:
-    """Order by a string column through its first six bytes."""
-    head = f"rpad(hex(substr(encode({text}, 'UTF-8'), 1, 6)), 12, '0')"
-    return Axis((text, *ties), f"conv({head}, 16, 10)", 1 << 32)
-
-
 @dataclass(frozen=True)
 class Sliced:
     """Rows with ``_slice`` and ``_last_slice``; ``cut`` tells whether any group has several slices."""
@@ -224,6 +218,44 @@ def global_index(
     return row_index(df.select("*", whole), ["_all"], axis, name, limit, bound).drop("_all")
 
 
+def ordered_parts(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
+    """Rows with ``_part`` and ``_at``: ranges of the order of ``by`` with at most ``limit`` rows, and the place in them.
+
+    The ranges follow samples of whole keys, so keys may agree in any number of first bytes. Their sizes are counted, and as
+    long as one is above the limit twice as many are cut. ``by`` is unique together, so this ends.
+    """
+    source = stage(df, "to-order")
+    parts = max(1, -(-2 * source.count() // limit))
+    while True:
+        # a source of several partitions is sampled in each; the range exchange keeps this number of partitions
+        placed = source.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+        placed = placed.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+        placed = stage(placed, "ordered-parts")
+        if placed.groupBy("_part").count().where(F.col("count") > limit).isEmpty():
+            return placed
+        parts *= 2
+
+
+def text_index(
+    df: DataFrame, by: Sequence[str], name: str, limit: int | None = None, bound: DataFrame | None = None
+) -> DataFrame:
+    """Number all rows 0, 1, ... in the order of string columns that are unique together.
+
+    No task sees more than ``limit`` rows. ``bound`` is a stored table with at least as many rows, counted in place of ``df``.
+    """
+    limit = ROWS_PER_SLICE if limit is None else limit
+    if (df if bound is None else bound).count() <= limit:
+        whole = df.withColumn("_all", F.lit(0))
+        return whole.withColumn(name, F.row_number().over(Window.partitionBy("_all").orderBy(*by)).cast("long") - 1).drop("_all")
+    placed = ordered_parts(df, by, limit)
+    # one row per part, i.e. rows / limit
+    sizes = placed.groupBy(F.lit(0).alias("_all"), "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_all").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at"))
+    return numbered.drop("_part", "_at", "_before")
+
+
 def with_next(sliced: Sliced, value: Column, name: str, among: Column | None = None) -> Sliced:
     """``value`` of the following row of the group (of the following row where ``among`` holds)."""
     flag, payload, head = f"_f_{name}", f"_p_{name}", f"_h_{name}"

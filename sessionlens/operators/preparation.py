@@ -23,6 +23,8 @@ SUSPECT = [
 OPTIONAL = [f"file_{g}_n-disk{d}" for g in ("compf", "txtf", "exef") for d in (1, 2)]
 CATEGORICAL = ["pc", "start_with", "end_with", "role", "b_unit", "f_unit", "dept", "team", "ITAdmin"]
 PROTECTED_PREFIXES = ("n_", "file_", "email_", "http_", "usb", "logon")
+#: Levels that may become columns.
+MOST_LEVELS = 2_000
 SPARSE_SHARE, BINARY_VALUES, SKEW_VALUES, SKEW_LIMIT, RARE_FREQUENCY = 0.99, 5, 10, 3.0, 0.01
 
 
@@ -207,8 +209,11 @@ def frequency_encode(df: DataFrame, train: DataFrame, columns: Sequence[str], fl
 
 
 def levels(train: DataFrame, name: str) -> list:
-    """Sorted values of a category in the training part, one per column of the one-hot form."""
-    return sorted(r[0] for r in train.select(column(name)).where(column(name).isNotNull()).distinct().collect())
+    """Sorted values of a category in the training part, one per column of the one-hot form: at most MOST_LEVELS."""
+    found = train.select(column(name)).where(column(name).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{name} has more than {MOST_LEVELS} levels: use one_hot_index")
+    return sorted(r[0] for r in found)
 
 
 def one_hot(df: DataFrame, train: DataFrame, name: str, values: Sequence | None = None) -> DataFrame:
@@ -226,8 +231,7 @@ def one_hot_index(df: DataFrame, train: DataFrame, name: str) -> DataFrame:
     """The sparse one-hot form: the position of the single 1 (from 0 for the second training level),
     null where all are 0. Levels stay a table and are joined, however many there are."""
     found = train.select(column(name).alias("_level")).where("_level is not null").distinct()
-    axis = ordering.text_axis("_text", "_level")
-    places = ordering.global_index(found.withColumn("_text", F.col("_level").cast("string")), axis, "_place").drop("_text")
+    places = ordering.text_index(found.withColumn("_text", F.col("_level").cast("string")), ["_text", "_level"], "_place").drop("_text")
     joined = df.join(stage(places, "levels"), column(name) == F.col("_level"), "left")
     return joined.withColumn(f"{name}_index", F.when(F.col("_place") > 0, F.col("_place") - 1)).drop(name, "_level", "_place")
 

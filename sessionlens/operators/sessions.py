@@ -284,9 +284,10 @@ def session_table(rows: DataFrame, users: DataFrame, pairs: DataFrame, limit: in
     Sessions of people missing from the directory are dropped, as they have no user columns.
     """
     from sessionlens.operators.activity import with_malicious_flag, with_user
+    from sessionlens.operators.skew import join_by_key
 
     numbered = with_sessions(rows, limit)
-    known = with_malicious_flag(with_user(numbered, users), pairs).where(F.col("user_int") >= 0)
+    known = with_malicious_flag(with_user(numbered, users, limit), pairs).where(F.col("user_int") >= 0)
     aggs, outs = feature_aggregates()
     first = F.col("first_row") == 1
     grouped = known.groupBy(*SESSION_ID, "user_int").agg(
@@ -303,5 +304,6 @@ def session_table(rows: DataFrame, users: DataFrame, pairs: DataFrame, limit: in
     flat = whole.select(
         "user", F.col("user_int").alias("_uid"), "sessionid", "week", "pc", "n_concurrent_sessions",
         *scalar_columns(), *outs, "insider")
-    joined = flat.join(static, "user").drop("user").withColumnRenamed("_uid", "user")
+    # everybody with a session is in the directory by now
+    joined = join_by_key(flat, static, "user", limit).drop("user").withColumnRenamed("_uid", "user")
     return joined.select(*[F.col(f"`{c}`") for c in SESSION_COLUMNS])

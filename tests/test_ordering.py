@@ -89,8 +89,41 @@ def test_cut_points_select_exact_counts(rows):
     assert cut.where(F.col("none").isNotNull()).count() == 0
 
 
-def test_global_index_by_text(spark):
-    words = [f"w{i:04d}" for i in range(300)]
+def test_text_index_of_keys_that_share_their_first_bytes(spark):
+    """10^5 keys of one 20-byte prefix and a small limit: right numbers, and no part above the limit."""
+    df = spark.range(100_000).select(F.concat(F.lit("U" * 20), F.lpad(F.hex(F.xxhash64("id")), 16, "0")).alias("w"))
+    parts = o.ordered_parts(df, ["w"], 3_000).groupBy("_part").count().toPandas()
+    assert len(parts) >= 34 and parts["count"].max() <= 3_000
+    got = o.text_index(df, ["w"], "i", limit=3_000).toPandas().sort_values("w")
+    assert got["i"].tolist() == list(range(100_000))
+
+
+@pytest.mark.parametrize("limit", [2, 50, 1000])
+def test_text_index_by_code_points(spark, limit):
+    words = sorted({f"w{i:04d}" for i in range(300)} | {"", "é", "Z", "\U0001f600", "\uffee", "z"})
     df = spark.createDataFrame([(w,) for w in words[::-1]], "w string")
-    got = o.global_index(df, o.text_axis("w"), "i", limit=50).toPandas().sort_values("w")
-    assert got["i"].tolist() == list(range(300))
+    got = {r["w"]: r["i"] for r in o.text_index(df, ["w"], "i", limit=limit).collect()}
+    assert got == {w: i for i, w in enumerate(words)}
+
+
+def test_join_splits_a_hot_key(spark):
+    """With broadcasts off and a user of a third of all rows, no task gets more than the limit of them."""
+    from sessionlens.operators import skew
+
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("u"), F.col("id") % 997)).alias("user"))
+    table = spark.createDataFrame([("hot", 7)] + [(f"u{i}", i) for i in range(900)], "user string, v long")
+    plain = {tuple(r) for r in rows.join(table, "user", "left").select("id", "user", "v").collect()}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("-1", "false", "200")):
+            spark.conf.set(k, v)
+        joined = skew.join_by_key(rows, table, "user", 1_000)
+        assert {tuple(r) for r in joined.select("id", "user", "v").collect()} == plain
+        tasks = joined.where("user = 'hot'").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+        assert len(tasks) > 10 and tasks.max() < 1_700  # two salts may meet in a task
+        plan = joined.groupBy("v").count()._jdf.queryExecution().toString()
+        assert "_salt" in plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {tuple(r) for r in skew.join_by_key(rows, table, "user").select("id", "user", "v").collect()} == plain
