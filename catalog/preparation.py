@@ -3,12 +3,13 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import big, ctes, num, query, when
-from catalog.sessions import SESSIONS
+from catalog.sessions import SESSIONS, _plain
 from catalog.shapes import Shapes
 from sessionlens.functions import scalars
 from sessionlens.operators import preparation as prep
 from sessionlens.operators import sessions as sess
 from sessionlens.operators import splits
+from sessionlens.session import stage
 
 ALL = [c for c in sess.SESSION_COLUMNS if c not in {*prep.IDENTIFIERS, *prep.LEAKAGE}]
 #: Traits are unknown for some users; windows and fits take the columns that every session has.
@@ -50,6 +51,12 @@ def train(s: Shapes):
     return timed(s).where(F.col("split") == "train")
 
 
+def parted(s: Shapes, columns: list[str]):
+    """The split sessions, stored as they are read several times, and their training part."""
+    whole = stage(timed(s).select(*_KEY, "split", *columns), "split-sessions")
+    return whole, whole.where(F.col("split") == "train")
+
+
 # --- splits ---------------------------------------------------------------------------------
 
 @query("time_user_split", ctes(*SPLIT) + f" SELECT {_key_sql}, split FROM parts")
@@ -90,7 +97,11 @@ def user_split(s: Shapes):
 
 # --- column selection -------------------------------------------------------------------------
 
-@query("feature_select")
+STRICT = [c for c in ALL if c not in {*prep.SUSPECT, *prep.OPTIONAL}]
+
+
+@query("feature_select", ctes(*SESSIONS) + f""" SELECT {_key_sql},
+  {', '.join(num(f'"{c}"', c) if "ROUND" in _plain.get(c, "") or c in sess.USER_COLUMNS[6:] else f'"{c}"' for c in STRICT)} FROM session_rows""")
 def feature_select(s: Shapes):
     """The strictest selection: identifiers, leaking, suspect and optional columns dropped."""
     chosen = prep.feature_columns(s.sessions, leakage=True, suspect=True, optional=True)
@@ -167,20 +178,20 @@ def signed_log(s: Shapes):
 
 @query("standard_scale", _scaled("avg({0})", "stddev_pop({0})"))
 def standard_scale(s: Shapes):
-    return prep.standard_scale(timed(s), train(s), FILLED).select(*_KEY, *FILLED)
+    return prep.standard_scale(*parted(s, FILLED), FILLED).select(*_KEY, *FILLED)
 
 
 @query("clip_features", _scaled("avg({0})", "stddev_pop({0})").replace("SELECT \"user\", sessionid, ", "SELECT \"user\", sessionid, ").replace(
     f" SELECT {_key_sql}, ", f", z AS (SELECT {_key_sql}, ") + f") SELECT {_key_sql}, " + ", ".join(
         num(f'greatest(least("{c}", 3), -3)', c) for c in FILLED) + " FROM z")
 def clip_features(s: Shapes):
-    scaled = prep.standard_scale(timed(s), train(s), FILLED)
+    scaled = prep.standard_scale(*parted(s, FILLED), FILLED)
     return scaled.select(*_KEY, *[scalars.clip(F.col(c)).alias(c) for c in FILLED])
 
 
 @query("minmax_scale", _scaled("min({0})", "(max({0}) - min({0}))", _log))
 def minmax_scale(s: Shapes):
-    logged = prep.apply_signed_log(timed(s).select(*_KEY, "split", *FILLED), FILLED)
+    logged = prep.apply_signed_log(parted(s, FILLED)[0], FILLED)
     return prep.minmax_scale(logged, logged.where(F.col("split") == "train"), FILLED).select(*_KEY, *FILLED)
 
 
@@ -189,7 +200,7 @@ def minmax_scale(s: Shapes):
     + f" SELECT t.\"user\", t.sessionid, " + ", ".join(num(f"coalesce(greatest(fq_{c}.f, 0.01), 0.01)", c) for c in CODES)
     + " FROM thirds t " + " ".join(f'LEFT JOIN fq_{c} ON t."{c}" = fq_{c}.v' for c in CODES))
 def frequency_encode(s: Shapes):
-    return prep.frequency_encode(timed(s).select(*_KEY, "split", *CODES), train(s), CODES).select(*_KEY, *CODES)
+    return prep.frequency_encode(*parted(s, CODES), CODES).select(*_KEY, *CODES)
 
 
 @query("one_hot", ctes(*SESSIONS) + f" SELECT {_key_sql}, " + ", ".join(

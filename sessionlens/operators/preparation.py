@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,13 +48,16 @@ def known(x: Column) -> Column:
 def per_column(df: DataFrame, columns: Sequence[str], measures: dict[str, callable]) -> DataFrame:
     """One scan, one row per column with each measure. NaN counts as null.
 
-    Values are aggregated in long form under a small integer key: the plan stays short and compiled
-    however many columns there are, and map-side combine leaves one row per column and task.
+    One wide aggregate without keys: every task keeps plain numbers and sends one row. The row is turned into one per
+    column at the end.
     """
-    long = df.select(F.posexplode(F.array(*[known(column(c)) for c in columns])).alias("pos", "v"))
-    stats = long.groupBy("pos").agg(*[m(F.col("v")).alias(name) for name, m in measures.items()])
-    names = F.array(*[F.lit(c) for c in columns])
-    return stats.select(F.get(names, F.col("pos")).alias("column"), *measures)
+    names = [(i, c, m) for i, c in enumerate(columns) for m in measures]
+    wide = df.select(*[known(column(c)).alias(f"v{i}") for i, c in enumerate(columns)]).agg(
+        *[measures[m](F.col(f"v{i}")).alias(f"{m}{i}") for i, _, m in names])
+    fields = lambda i: ", ".join(f"'{m}', {m}{i}" for m in measures)
+    entries = ", ".join(f"named_struct('_pos', {i}, {fields(i)})" for i in range(len(columns)))
+    listed = F.array(*[F.lit(c) for c in columns])
+    return wide.select(F.expr(f"inline(array({entries}))")).select(F.get(listed, F.col("_pos")).alias("column"), *measures)
 
 
 def skew(x: Column) -> Column:
@@ -84,32 +87,22 @@ def sparse_columns(df: DataFrame, columns: Sequence[str], share: float = SPARSE_
 
 
 def few_values(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
-    """Number of distinct values of each column, counted up to ``most + 1``.
+    """Number of distinct values of each column, counted up to ``most + 1``. Nulls and NaN are no values.
 
-    Each task keeps at most that many values per column and emits only those, so the shuffle holds
-    a few values per column and task whatever the cardinality; no built-in aggregate stops early.
-    Nulls and NaN are no values.
+    A sketch per column decides most columns: nothing that it puts at five times ``most`` has as few. The other columns have
+    few values by then, which are told apart exactly; map-side combine leaves those few per task.
     """
-    names = list(columns)
-
-    def scan(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        kept = {name: set() for name in names}
-        for batch in batches:
-            for i, name in enumerate(names):
-                if len(kept[name]) <= most:
-                    kept[name].update(pc.unique(pc.drop_null(batch.column(i)))[: most + 1].to_pylist())
-        pairs = [(name, v) for name in names for v in sorted(kept[name])[: most + 1]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.float64())],
-            names=["column", "value"])
-
-    narrow = df.select(*[known(column(c)).alias(c) for c in names])
-    values = narrow.mapInArrow(scan, "column string, value double").distinct()
-    counted = values.groupBy("column").agg(F.count("value").alias("n"))
-    return counted.select("column", F.least("n", F.lit(most + 1)).alias("values"))
+    roughly = {r["column"]: r["n"] for r in per_column(df, columns, {"n": F.approx_count_distinct}).collect()}  # one row per column
+    open_columns = [c for c in columns if roughly[c] <= 5 * most + 5]
+    decided = [(c, most + 1) for c in columns if c not in set(open_columns)]
+    out = df.sparkSession.createDataFrame(decided, "column string, values long")
+    if not open_columns:
+        return out
+    listed = F.array(*[F.lit(c) for c in open_columns])
+    long = df.select(F.posexplode(F.array(*[known(column(c)) for c in open_columns])).alias("pos", "v"))
+    counted = long.distinct().groupBy("pos").agg(F.least(F.count("v"), F.lit(most + 1)).alias("values"))
+    every = df.sparkSession.createDataFrame([(i,) for i in range(len(open_columns))], "pos int").join(counted, "pos", "left")
+    return out.unionByName(every.select(F.get(listed, F.col("pos")).alias("column"), F.coalesce("values", F.lit(0).cast("long")).alias("values")))
 
 
 def binary_columns(df: DataFrame, columns: Sequence[str], most: int = BINARY_VALUES) -> DataFrame:

@@ -81,7 +81,7 @@ def feature_aggregates(full: bool = False) -> tuple[list[Column], list[Column]]:
         for m in measures:
             aggs.append(f"sum({picked(m)}) AS `{prefix}_sum_{m}`")
             if full:
-                functions = {"min": "min", "max": "max", "med": "median", "std": "stddev_pop"}
+                functions = {"min": "min", "max": "max", "std": "stddev_pop"}
                 aggs += [f"{f}({picked(m)}) AS `{prefix}_{s}_{m}`" for s, f in functions.items()]
             for s in STATISTICS if full else ["mean"]:
                 source = f"try_divide(`{prefix}_sum_{m}`, `{count}`)" if s == "mean" else f"`{prefix}_{s}_{m}`"
@@ -96,7 +96,34 @@ def feature_aggregates(full: bool = False) -> tuple[list[Column], list[Column]]:
 
 def session_features(rows: DataFrame, keys: list[str], full: bool = False) -> DataFrame:
     aggs, outs = feature_aggregates(full)
-    return rows.groupBy(*keys).agg(*aggs).select(*keys, *outs)
+    grouped = rows.groupBy(*keys).agg(*aggs)
+    if full:  # keys are never null
+        grouped = grouped.join(medians(rows, keys), keys, "left")
+    return grouped.select(*keys, *outs)
+
+
+def medians(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One ``..._med_...`` column per measure and group, as a weighted order statistic.
+
+    Values are counted per (session, measure, value) with map-side combine; running counts then tell which values stand in the
+    middle. Only distinct values of one measure are ever ordered together, and that window spills.
+    """
+    names, entries = [], []
+    for block, group, condition, measures, _ in _groups():
+        prefix = _names(block, group)[1]
+        test = " AND ".join([f"{c} = {v}" for c, v in condition.items()]) or "true"
+        for m in measures:
+            entries.append(f"IF({test} AND {m} IS NOT NULL, named_struct('_pos', {len(names)}, '_v', double({m})), NULL)")
+            names.append(f"{prefix}_med_{m}")
+    long = rows.select(*keys, F.expr(f"inline(filter(array({', '.join(entries)}), x -> x IS NOT NULL))"))
+    counted = long.groupBy(*keys, "_pos", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    one = Window.partitionBy(*keys, "_pos")
+    placed = counted.select(
+        *keys, "_pos", "_v", F.sum("_n").over(one).alias("_all"),
+        F.sum("_n").over(one.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
+    middle = [F.min(F.when(F.col("_upto") >= F.expr(at), F.col("_v"))) for at in ("(_all + 1) div 2", "_all div 2 + 1")]
+    found = placed.groupBy(*keys, "_pos").agg(((middle[0] + middle[1]) / 2).alias("_med"))
+    return found.groupBy(*keys).agg(*[F.expr(f"max(IF(_pos = {i}, _med, NULL)) AS `{n}`") for i, n in enumerate(names)])
 
 
 # --- session boundaries -----------------------------------------------------------------------
