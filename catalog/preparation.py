@@ -134,13 +134,13 @@ def sparse_columns(s: Shapes):
 @query("binary_columns", ctes(*SPLIT, _long(ALL)) + f"""
 SELECT "column", {big('CASE WHEN count(DISTINCT v) <= 5 THEN 1 ELSE 0 END', 'binary')} FROM long GROUP BY "column" """)
 def binary_columns(s: Shapes):
-    return prep.binary_columns(train(s), ALL)
+    return prep.binary_columns(parted(s, ALL)[1], ALL)
 
 
 @query("skewed_columns", ctes(*SPLIT, _long(ALL), SKEW) + f"""
 SELECT "column", {num('round(skewness, 4)', 'skewness')}, {big('CASE WHEN abs(skewness) > 3 AND nv > 10 THEN 1 ELSE 0 END', 'skewed')} FROM skews""")
 def skewed_columns(s: Shapes):
-    return prep.skewed_columns(train(s), ALL).withColumn("skewness", F.round("skewness", 4))
+    return prep.skewed_columns(parted(s, ALL)[1], ALL).withColumn("skewness", F.round("skewness", 4))
 
 
 @query("clean_numeric", f"""SELECT event_id, {num("CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 THEN 0 ELSE value END", 'value')} FROM events""")
