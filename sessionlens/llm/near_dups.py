@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlens.llm.common import add_columns, field, mix, partitions
+from sessionlens.llm.common import add_columns, field, mix, partitions, sifted
 from sessionlens.session import stage
 
 SEED = 42
@@ -290,11 +290,16 @@ def shingle_sets(df: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(df, [field("shingles", T.ArrayType(T.LongType()))], make, text)
 
 
-def verified(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose whole texts have a similarity of ``ALIKE`` or more; written."""
+def verified(nodes: DataFrame, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose whole texts have a similarity of ``ALIKE`` or more; written.
+
+    ``firsts`` has (node, id) of the first row of every text, so of copies only one is shuffled and shingled."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = shingle_sets(nodes.join(wanted, "node", "left_semi").select("node", "text")).select("node", "shingles")
-    sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    wanted = stage(firsts.join(wanted, "node", "left_semi").select(F.col("node").alias("_node"), F.col("id").alias("_id")), "wanted")
+    rows = sifted(nodes, F.xxhash64("node", "id"), wanted.select(F.xxhash64("_node", "_id").alias("key"))).where("_maybe")
+    rows = rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    own = rows.groupBy("node").agg(F.first("text").alias("text"))
+    sets = stage(shingle_sets(own).select("node", "shingles"), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"
     )
@@ -319,9 +324,11 @@ def verified_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     texts = stage(signed_nodes.groupBy("node").agg(F.min(order).alias("at"), *(F.first(n).alias(n) for n in ("bands", "sketch", "width"))), "texts")
     spread = texts.select("node", "sketch", "width", F.explode("bands").alias("key"))
     heads = stage(spread.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "heads")
-    members = stage(spread.join(heads, "key"), "members")
+    shared = sifted(spread, F.col("key"), heads.select("key")).where("_maybe").drop("_maybe")
+    members = stage(shared.join(heads, "key"), "members")
     first = stage(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
-    alike = verified(nodes, first)
+    firsts = texts.select("node", "at.id")
+    alike = verified(nodes, firsts, first)
     known = components(alike)
     rooted = (
         members.join(known.withColumnRenamed("root", "own"), "node", "left")
@@ -335,7 +342,7 @@ def verified_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     more = met.select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
     more = stage(more.join(first, ["a", "b"], "left_anti"), "candidates")
     if not more.isEmpty():
-        known = components(alike.union(verified(nodes, more)))
+        known = components(alike.union(verified(nodes, firsts, more)))
     grouped = texts.select("node", "at").join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = grouped.groupBy("root").agg(F.min("at").alias("best"), F.count("*").alias("n")).where("n > 1")
     groups = stage(grouped.join(smallest, "root").select("node", F.col("best.node").alias("root")), "groups")
@@ -354,8 +361,10 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     many = per_text.where("all > 1").select("node", F.lit(True).alias("_many"), F.col("best.id").alias("_id"), F.col("best.n").alias("_n"))
     status = stage(lost.join(many, "node", "full").withColumnRenamed("node", "_node"), "status")
     whole = F.coalesce(F.col(text), F.lit(""))
-    joined = df.withColumn("_node", F.xxhash64(whole)).join(status, "_node", "left")
+    sifting = sifted(df.withColumn("_node", F.xxhash64(whole)), F.col("_node"), status.select("_node"))
+    alone = sifting.where("not _maybe").select(*df.columns)
+    joined = sifting.where("_maybe").drop("_maybe").join(status, "_node", "left")
     kept = joined.where(F.col("_lost").isNull() & (F.col("_many").isNull() | F.col(doc_id).eqNullSafe(F.col("_id"))))
     if not status.where("_lost is null and _n > 1").isEmpty():  # rows that repeat id and text
         kept = kept.where("_n is null or _n = 1").union(kept.where("_n > 1").dropDuplicates(["_node"]))
-    return kept.select(*df.columns)
+    return alone.union(kept.select(*df.columns))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import let
+from sessionlens.llm.common import let, sifted
 from sessionlens.session import stage
 
 KINDS = ["email", "ip", "card", "phone", "general", "removed"]
@@ -151,6 +151,7 @@ def term_spans(df: DataFrame, found: DataFrame, disclosing: DataFrame, doc_id: s
     wanted = stage(per_term.groupBy("id", "hash").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares")), "wanted")
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(doc_id).alias("_id"), F.xxhash64(whole).alias("_hash"), whole.alias("text"))
+    rows = sifted(rows, F.col("_hash"), wanted.select("hash")).where("_maybe").drop("_maybe")
     rows = rows.join(wanted, (F.col("_hash") == F.col("hash")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["id", "hash"])
     share = lambda v: F.element_at("shares", F.xxhash64(F.lower(v)))
     spans = matches(F.col("text"), TERM, F.lit(4), lambda v: share(v).isNotNull())
@@ -188,6 +189,8 @@ def sanitised(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     spans = private_spans(df, doc_id, text).where(F.size("spans") > 0).dropDuplicates(["id", "hash"])
     spans = stage(spans.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("spans").alias("_spans")), "spans")
     rows = df.withColumn("_own", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = rows.join(spans, (F.col("_own") == F.col("_hash")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
+    sifting = sifted(rows, F.col("_own"), spans.select("_hash"))
+    free = sifting.where("not _maybe").select(*df.columns)
+    joined = sifting.where("_maybe").join(spans, (F.col("_own") == F.col("_hash")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left")
     done = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("_spans")))
-    return joined.withColumn(text, done).select(*df.columns)
+    return free.union(joined.withColumn(text, done).select(*df.columns))

@@ -1,13 +1,15 @@
 """Near-duplicates, line templates and fingerprints against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pyspark.cloudpickle as cloudpickle
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from sessionlens.llm import fingerprints, line_templates, near_dups
+from sessionlens.llm import common, fingerprints, line_templates, near_dups
 
 
 def fingerprint(text, words):
@@ -143,20 +145,40 @@ def test_block_edits_near_the_limit_are_found(make):
     assert sorted(r["doc_id"] for r in got) == list(range(0, 300, 2))
 
 
+def plain_templates(line):
+    """The templates of a line as lists, by the rules of the module docstring, with (True, ...) for short lines."""
+    dense = "".join(f"{chr(a)}-{chr(b)}" for a, b in line_templates.SPACELESS)
+    tokens = re.findall(f"[{dense}]{{1,2}}|[^ \t-\r{dense}]+", line)
+    letter, digit = re.compile("[A-Za-z\x80-\U0010ffff]"), re.compile("[0-9]")
+    worded = lambda ts: sum(t is not None and bool(letter.search(t)) for t in ts) >= max(3, len(ts) / 2)
+    if not tokens:
+        return []
+    if len(tokens) < 5:
+        return [(True, *tokens)] if len(letter.findall("".join(tokens))) >= 12 else []
+    free = [None if digit.search(t) else t for t in tokens]
+    tokens = free if worded(free) else tokens
+    out = [(False, *tokens)]
+    for block in range(4 if len(tokens) >= 10 else 0):
+        made = [None if i >= 3 and (i - 3) % 4 == block else t for i, t in enumerate(tokens)]
+        if worded(made):
+            out.append((False, block, *made))
+    return out
+
+
 def brute_lines(rows):
     first, docs = {}, {}
     order = lambda i, t: (i is not None, i or 0, xxhash.xxh64_intdigest((t or "").encode(), 42) - ((xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63) << 64))
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n")):
-            for key in line_templates.template_keys(line.encode()):
+            for key in plain_templates(line):
                 first[key] = min(first.get(key, (order(i, t), n)), (order(i, t), n))
                 docs.setdefault(key, set()).add(order(i, t))
     out = []
     for i, t in rows:
         kept = []
         for n, line in enumerate((t or "").split("\n")):
-            keys = line_templates.template_keys(line.encode())
-            if not any(len(docs[k]) > 1 and first[k] != (order(i, t), n) for k in keys):
+            keys = plain_templates(line)
+            if not any(len(docs[k]) >= (4 if k[0] else 2) and first[k] != (order(i, t), n) for k in keys):
                 kept.append(line)
         out.append((i, None if t is None else "\n".join(kept)))
     return sorted(out, key=str)
@@ -185,6 +207,36 @@ def test_short_and_spaceless_lines_recur_too(make):
     assert got[0] == rows[0][1] and all(got[i] == f"own{i}\n" for i in range(1, 4)) and got[9] == ""
 
 
+def test_code_dialogue_and_headings_stay(make):
+    """Short clean lines that several texts share stay, a footer of few words goes from the fourth text on."""
+    common = "    return x\n}\nYes.\nChapter 1"
+    rows = [(i, f"{common}\nAll rights reserved worldwide") for i in range(6)]
+    got = {r["doc_id"]: r["text"] for r in line_templates.without_recurring_lines(make(rows[:3])).collect()}
+    assert got == dict(rows[:3])
+    got = {r["doc_id"]: r["text"] for r in line_templates.without_recurring_lines(make(rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == common for i in range(1, 6))
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_random_lines_equal_brute_force(make, monkeypatch, at_once):
+    monkeypatch.setattr(line_templates, "AT_ONCE", at_once)
+    cloudpickle.register_pickle_by_value(line_templates)
+    rng = random.Random(at_once)
+    words = ["alpha", "beta", "gamma", "x1", "2024", "--", "版权所有", "ไทย", "é", "word"]
+    pool = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 4, 5, 9, 10, 14]))) for _ in range(40)]
+    rows = [(rng.choice([None, *range(30)]), rng.choice(["\n", "\n\n", " \r\n"]).join(rng.choice(pool) for _ in range(rng.randrange(9)))) for _ in range(60)]
+    rows = list({(i, t): (i, t) for i, t in rows}.values())
+    rows += rows[:5]
+    got = line_templates.without_recurring_lines(make(rows)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == brute_lines(rows)
+    keys = line_templates.with_keys(make(rows)).collect()
+    for r in keys:  # as many templates a line as the plain rules give
+        lines = (r["text"] or "").split("\n")
+        want = sorted(n for n, line in enumerate(lines) for _ in plain_templates(line))
+        assert sorted(k["line"] for k in r["keys"]) == want
+    cloudpickle.unregister_pickle_by_value(line_templates)
+
+
 def test_clean_rows_of_numbers_stay(make):
     """Of 60 different rows a text in tables, schedules and logs, and one whole row that two texts share."""
     rng = random.Random(5)
@@ -235,3 +287,15 @@ def test_fingerprints_on_odd_rows(odd, none, clash):
     assert fingerprints.edited_fingerprints(odd).count() == odd.count()
     assert fingerprints.edited_fingerprints(none).count() == 0
     assert fingerprints.with_fingerprint(clash).where("key = 'mine' and length(fingerprint) = 576").count() == odd.count()
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 28])
+def test_a_sieve_loses_no_wanted_row(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_SIEVE_BITS", most)
+    rows = spark.range(200_000).withColumn("_slot", F.lit("mine")).withColumn("h", F.xxhash64("id"))
+    wanted = rows.where("id % 40 = 0").select(F.col("h").alias("key"))
+    got = common.sifted(rows, F.col("h"), wanted).groupBy((F.col("id") % 40 == 0).alias("w"), "_maybe").count()
+    got = {(r["w"], r["_maybe"]): r["count"] for r in got.collect()}
+    assert got[True, True] == 5000 and (True, False) not in got
+    assert got[False, True] < 195_000 * (0.08 if most > 1 << 15 else 0.2)
+    assert not common.sifted(rows, F.col("h"), wanted.where("false")).where("_maybe").count()
