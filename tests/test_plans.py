@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog.shapes import shapes
 from sessionlens.operators import learners
-from sessionlens.plans import etl
+from sessionlens.operators import preparation, splits
+from sessionlens.plans import cascades, etl
 from sessionlens.sources import people
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +68,35 @@ def test_expert_renumbers_its_classes(windows):
 def test_components_are_capped(windows):
     made = learners.pca_project(windows, "features", 4, most=2)
     assert len(made.first()["components"]) == 2
+
+
+def test_skew_treatment_equals_pandas(spark):
+    sessions = shapes(spark, SF).sessions
+    prepared, names, numeric = cascades.skew_prepared(sessions)
+    columns = preparation.feature_columns(sessions)
+    split = splits.time_user_split(sessions).toPandas().set_index(["user", "sessionid"]).sort_index()
+    split[columns] = split[columns].astype(float).fillna(0)
+    train = split[split.split == "train"]
+    few = [c for c in columns if train[c].nunique() <= 5]
+    kept = [c for c in columns if c not in few and train[c].std() > 0]
+    guarded = ("n_", "file_", "email_", "http_", "usb", "logon")
+    kept = [c for c in kept if c.startswith(guarded) or (train[c] == 0).mean() <= 0.99]
+    assert numeric == kept and names == [c for c in columns if c in few or c in kept]
+    skewed = [c for c in kept if train[c].nunique() > 10 and abs(train[c].skew()) > 3]
+    split[skewed] = np.sign(split[skewed]) * np.log1p(split[skewed].abs())
+    train = split[split.split == "train"]
+    want = (split[kept] - train[kept].mean()) / train[kept].std(ddof=0)
+    got = prepared.toPandas().set_index(["user", "sessionid"]).sort_index()
+    assert skewed and np.allclose(got[kept].astype(float), want, atol=1e-6)
+    assert np.allclose(got[few].astype(float), split[few])
+
+
+def test_gate_cascade_reports_every_test_window(spark):
+    sessions = shapes(spark, SF).sessions
+    small = cascades.GateSettings(window=3, rounds=2, gate_depth=2, trees=2, depth=3)
+    called = cascades.gate_called(sessions, small).toPandas()
+    assert called["id"].is_unique and called["threshold"].nunique() == 1 and 0 < called["threshold"][0] <= 0.2
+    assert ((called["gate"] >= called["threshold"]) == (called["suspect"] == 1)).all()
+    assert (called.loc[called["suspect"] == 0, "final"] == 0).all() and called["final"].isin(range(4)).all()
+    report = cascades.gate_cascade(sessions, small).toPandas()
+    assert set(report["tier"]) == {"gate", "final"}
