@@ -1,7 +1,7 @@
 """Order-preserving packing by dynamic programming (operator 5).
 
-Documents keep their order (ascending ids) and are laid end to end as tokens. Cuts go to document ends (free),
-sentence ends (a small penalty) or, only inside very long sentences, between words of a sentence (a larger one).
+Documents keep their order (ascending ids) and are laid end to end as tokens. Cuts go to document ends (free), any
+sentence end (a small penalty) or, only inside very long sentences, between words of a sentence (a larger one).
 The best cuts minimise padding plus penalties: with x the position of a cut and f its least cost,
 f(i) = x_i-penalty + min over j of f(j) + (window - (x_i - x_j)), a sliding minimum of f(j) + x_j that a monotone
 queue gives in constant time; sequences whose length is a power of two need no padding, which adds one look-up per
@@ -17,6 +17,8 @@ gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import os
+import re
 from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -37,14 +39,17 @@ SENTENCE_CUT, WORD_CUT = 8, 64
 #: Cuts inside a sentence are offered at this distance.
 WORD_STEP = 256
 SLICE = 2 << 20
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Chunks that the library encodes in one call; its results are large while they live.
 CALL = 4096
 #: A letter, the marks that close its word, and the space after them (RE2).
 CLOSING = r"(\pL)([.,!?;:|*#$%&]+) "
-SENTENCE_END = "[.!?。！？]$"
-#: Of sentence ends so near to each other, one is offered as a cut.
-NEAR = 32
+#: How the last chunk of a sentence ends, and where sentences end inside a chunk, in scripts that put no space there.
+CLOSERS = """["'”’»)）」』】\\]]*"""
+SENTENCE_END = "[.!?。！？｡।؟]" + CLOSERS + "$"
+INNER_END = "[。！？｡।؟]" + CLOSERS
+#: Chunks whose inner ends are remembered.
+INNER_REMEMBERED = 20_000
 
 
 class ChunkTokens:
@@ -55,43 +60,57 @@ class ChunkTokens:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
+        # ids as bytes of unsigned 32-bit numbers: small, joined at once, and no object of its own for each id
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.inner: dict[str, list[int]] = {}
 
-    def learn(self, chunks: list[str]) -> list[tuple[int, ...]]:
+    def learn(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk."""
         if len(self.known) > REMEMBERED:  # what was used since the last time stays
             self.known, self.before = {}, self.known
         known, before = self.known, self.before
         found = list(map(known.get, chunks))
         missing = []
-        for k, ids in enumerate(found):
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            ids = found[k] = before.get(chunks[k])
             if ids is None:
-                ids = found[k] = before.get(chunks[k])
-                if ids is None:
-                    missing.append(k)
-                else:
-                    known[chunks[k]] = ids
+                missing.append(k)
+            else:
+                known[chunks[k]] = ids
         for at in range(0, len(missing), CALL):
             part = missing[at : at + CALL]
-            for k, ids in zip(part, self.call([chunks[k] for k in part])):
-                found[k] = known[chunks[k]] = ids
+            new = [chunks[k] for k in part]
+            coded = self.call(new)
+            known.update(zip(new, coded))
+            for k, ids in zip(part, coded):
+                found[k] = ids
         return found
 
-    def call(self, new: list[str]) -> list[tuple[int, ...]]:
-        coded = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        words = coded.word_ids
-        if None in words:  # special tokens belong to no word
-            return [tuple(self.tokenizer.encode(c, add_special_tokens=False).ids) for c in new]
-        at = np.searchsorted(np.array(words, dtype=np.int64), np.arange(len(new) + 1)).tolist()
-        ids = coded.ids
-        return [tuple(ids[i:j]) for i, j in zip(at, at[1:])]
+    def call(self, new: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)  # without offsets
+        found = [c.ids for c in coded]
+        ends = (4 * np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))).tolist()
+        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32).tobytes()
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]
+
+    def ends_inside(self, chunk: str) -> list[int]:
+        """Numbers of the tokens of a chunk after which a sentence ends, but for its last token."""
+        if chunk not in self.inner:
+            if len(self.inner) >= INNER_REMEMBERED:
+                self.inner = {}
+            ends = {m.end() for m in re.finditer(INNER_END, chunk)}
+            until = [j for _, j in self.tokenizer.encode(chunk, add_special_tokens=False).offsets]
+            # one character can be several tokens with the same end
+            self.inner[chunk] = [k for k in range(len(until) - 1) if until[k] in ends and until[k + 1] > until[k]]
+        return self.inner[chunk]
 
     def chunks(self, texts: pa.Array) -> pa.ListArray:
         texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
@@ -110,16 +129,22 @@ class ChunkTokens:
         coded = pc.list_flatten(lists).dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         stop = np.append(pc.match_substring_regex(coded.dictionary, SENTENCE_END).to_numpy(zero_copy_only=False), True)
-        found = self.learn(coded.dictionary.to_pylist())
-        found.append((end,))
+        chunks = coded.dictionary.to_pylist()
+        found = self.learn(chunks)
+        found.append(np.uint32(end).tobytes())
         codes = np.insert(codes, borders[1:], len(found) - 1)
         borders = borders + np.arange(len(borders))
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        flat = np.frombuffer(b"".join(found), dtype=np.uint32)
         ends = np.cumsum(sizes[codes])
         ids = gather(flat, np.cumsum(sizes) - sizes, sizes, codes)
         marks = np.zeros(len(ids), dtype=bool)
         marks[ends[stop[codes] & (sizes[codes] > 0)] - 1] = True
+        several = np.flatnonzero(pc.match_substring_regex(coded.dictionary, INNER_END + ".").to_numpy(zero_copy_only=False))
+        for k in several[np.isin(several, codes)].tolist():
+            inside = np.array(self.ends_inside(chunks[k]), dtype=np.int64)
+            starts = ends[codes == k] - sizes[k]
+            marks[(starts[:, None] + inside).ravel()] = True
         return ids, np.diff(np.concatenate([[0], ends])[borders]), marks
 
 
@@ -174,9 +199,7 @@ def allowed_cuts(sizes: np.ndarray, marks: np.ndarray, tail: int = 0) -> tuple[n
     In the last ``tail`` tokens any position will do, so that they can fall into lengths that need no padding.
     """
     ends = np.cumsum(sizes)
-    sentences = np.flatnonzero(marks) + 1
-    sentences = sentences[np.flatnonzero(np.diff(sentences // NEAR, append=-1))]  # the last of each stretch
-    places = np.unique(np.concatenate([[0], ends, sentences]))
+    places = np.unique(np.concatenate([[0], ends, np.flatnonzero(marks) + 1]))
     gaps = np.diff(places)
     wide = np.flatnonzero(gaps > WORD_STEP)
     inner = [np.arange(places[k] + WORD_STEP, places[k + 1], WORD_STEP) for k in wide]

@@ -1,8 +1,10 @@
 """BPE against the tokenizers library; packing against coverage and an exhaustive search."""
 
 import random
+import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -105,6 +107,24 @@ def test_repeated_rows_are_packed_each(spark, odd):
     assert all(len(r["ids"]) > 0 for r in rows)
 
 
+def test_every_sentence_end_is_a_cut(reference):
+    texts = ["今天很好。我们去公园！「好吗？」是", 'Yes. "Why?" They said 3.14 now. e.g.x No! (Really.) end', "a b. c", "", "क्या है। नहीं।", "短。" * 3000, "短。" * 3000]
+    ends = re.compile(r"""[.!?。！？।]["'”’)」]*(?=\s|$)|[。！？।]["'”’)」]*""")
+    ids, sizes, marks = packing.ChunkTokens(tokenizer("word_bpe_49k.json")).encode(pa.array(texts), 2)
+    at = 0
+    for text, n in zip(texts, sizes.tolist()):
+        coded = reference("word_bpe_49k.json").encode(text, add_special_tokens=False)
+        assert ids[at : at + n].tolist() == [*coded.ids, 2]
+        wanted = {m.end() for m in ends.finditer(text)}
+        until = [j for _, j in coded.offsets]
+        last = [k + 1 == len(until) or until[k + 1] > until[k] for k in range(len(until))]
+        assert marks[at : at + n].tolist() == [j in wanted and k for j, k in zip(until, last)] + [True], text
+        at += n
+    cuts, penalty = packing.allowed_cuts(sizes, marks)
+    assert set((np.flatnonzero(marks) + 1).tolist()) <= set(cuts.tolist())
+    assert (penalty[np.isin(cuts, np.flatnonzero(marks) + 1)] <= packing.SENTENCE_CUT).all()
+
+
 def exhaustive(at, penalty, window):
     best = [0] + [None] * (len(at) - 1)
     for i in range(1, len(at)):
