@@ -17,6 +17,8 @@ empty table gives an empty result; columns named like an output are replaced, ot
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ PATTERNS = {
 }
 TERM = r"\p{L}[\p{L}\p{M}'’-]{2,}+"
 NEAR, REACH = 8, 200
+#: Texts are cut into parts of at least so many characters where pieces of them are looked up.
+PART = 4096
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[WORD]", "removed": "[REMOVED]"}
 NO_SPANS = "cast(array() as array<struct<start:int,kind:int,end:int,value:string>>)"
@@ -54,6 +58,44 @@ def passes(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def root(n: Column) -> Column:
+    return F.ceil(F.sqrt(n)).cast("int")
+
+
+def in_runs(n: Column, name: str, run: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+    """What a fold over 0 .. n - 1 collects, made in runs of about the square root of n.
+
+    A fold that appends copies what it has; runs keep each copy short. ``run`` folds over the numbers of a run from
+    a position and gives that after it, ``at``, and what the run made, ``name``; ``finish`` joins the list of these.
+    """
+    size = F.greatest(root(n), F.lit(1))
+    first = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), size)
+
+    def step(state: Column, k: Column) -> Column:
+        one = run(state["at"], F.sequence(k, F.least(k + size, n) - 1))
+        return let(one, lambda r: F.struct(r["at"].alias("at"), F.concat(state["made"], F.array(r[name])).alias("made")))
+
+    kind = "array<struct<start:int,kind:int,end:int,value:string>>" if name == "spans" else "string"
+    nothing = F.expr(f"cast(array() as array<{kind}>)")
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("made"))
+    return F.when(n > 0, F.aggregate(first, start, step, lambda s: finish(s["made"]))).otherwise(finish(nothing))
+
+
+def cut(text: Column) -> Column:
+    """(size, parts): the text in parts of a fixed size, for :func:`piece`."""
+    size = F.greatest(4 * root(F.length(text)), F.lit(PART))
+    first = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), size)
+    return F.struct(size.alias("size"), F.transform(first, lambda i: F.substring(text, i + 1, size)).alias("parts"))
+
+
+def piece(text: Column, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` up to ``stop`` of a text that is cut; a substring would walk there from the beginning."""
+    size, parts = text["size"], text["parts"]
+    head = F.floor(start / size).cast("int")
+    some = F.array_join(F.slice(parts, head + 1, F.floor(stop / size).cast("int") - head + 1), "")
+    return F.when(stop > start, F.substring(some, start - head * size + 1, stop - start)).otherwise(F.lit(""))
+
+
 def matches(text: Column, pattern: str, kind: Column, wanted=None) -> Column:
     """Spans of all matches: offsets come from the lengths of the matches and of what a split leaves between them.
 
@@ -72,9 +114,10 @@ def matches(text: Column, pattern: str, kind: Column, wanted=None) -> Column:
                 grown = F.when(wanted(value), grown).otherwise(state["spans"])
             return F.struct((start + F.length(value)).alias("at"), grown.alias("spans"))
 
-        start = F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("spans"))
-        made = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s["spans"])
-        return F.when(F.size(found) == 0, F.expr(NO_SPANS)).otherwise(made)
+        def run(at: Column, numbers: Column) -> Column:
+            return F.aggregate(numbers, F.struct(at.alias("at"), F.expr(NO_SPANS).alias("spans")), step)
+
+        return in_runs(F.size(found), "spans", run, F.flatten)
 
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
     return let(both, spans)
@@ -100,10 +143,11 @@ def terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w))
 
 
-def context(text: Column, span: Column) -> Column:
-    """The words around a span: at most ``NEAR`` on either side, within ``REACH`` characters."""
-    before = let(terms(F.substring(text, F.greatest(span["start"] - REACH, F.lit(0)) + 1, F.least(span["start"], F.lit(REACH)))), lambda w: F.slice(w, F.greatest(F.size(w) - NEAR + 1, F.lit(1)), F.lit(NEAR)))
-    after = F.slice(terms(F.substring(text, span["end"] + 1, F.lit(REACH))), 1, NEAR)
+def context(text: Column, length: Column, span: Column) -> Column:
+    """The words around a span of a text that is cut: at most ``NEAR`` on either side, within ``REACH`` characters."""
+    before = terms(piece(text, F.greatest(span["start"] - REACH, F.lit(0)), span["start"]))
+    before = let(before, lambda w: F.slice(w, F.greatest(F.size(w) - NEAR + 1, F.lit(1)), F.lit(NEAR)))
+    after = F.slice(terms(piece(text, span["end"], F.least(span["end"] + REACH, length))), 1, NEAR)
     return F.array_sort(F.array_distinct(F.concat(before, after)))
 
 
@@ -111,7 +155,11 @@ def found_entities(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """(id, hash, spans, near) of every row: base spans, and the context of each entity. Written, without texts."""
     rows = df.select(F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), F.col(text).alias("text"))
     spans = rows.withColumn("spans", base_spans(F.col("text")))
-    near = F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), context(F.col("text"), s).alias("words")))
+    words = lambda cut_text, s: context(cut_text, F.length("text"), s)
+    near = F.when(
+        F.size("spans") > 0,
+        let(cut(F.col("text")), lambda c: F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), words(c, s).alias("words")))),
+    ).otherwise(F.expr("cast(array() as array<struct<entity:bigint,words:array<string>>>)"))
     return stage(spans.select("id", "hash", "spans", near.alias("near")), "entities")
 
 
@@ -173,15 +221,22 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with a mask for every span; overlapping spans share the mask of the first."""
     masks = F.array(*(F.lit(MASKS[k]) for k in KINDS))
 
-    def step(state: Column, s: Column) -> Column:
-        taken = s["start"] >= state["at"]
-        piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.get(masks, s["kind"]))
-        out = F.when(taken, F.concat(state["out"], F.array(piece))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def made(cut_text: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            s = F.get(spans, i)
+            new = F.concat(piece(cut_text, state["at"], s["start"]), F.get(masks, s["kind"]))
+            out = F.when(s["start"] >= state["at"], F.concat(state["out"], F.array(new))).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+        def run(at: Column, numbers: Column) -> Column:
+            start = F.struct(at.alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+            joined = lambda s: F.struct(s["at"].alias("at"), F.array_join(s["out"], "").alias("out"))
+            return F.aggregate(numbers, start, step, joined)
+
+        rest = piece(cut_text, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text))
+        return F.concat(in_runs(F.size(spans), "out", run, lambda m: F.array_join(m, "")), rest)
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    return F.when(F.size(spans) == 0, text).otherwise(let(cut(text), made))
 
 
 def sanitised(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

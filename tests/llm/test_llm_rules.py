@@ -85,6 +85,18 @@ def test_overlapping_spans_share_a_mask(make, clash, odd):
     assert privacy.sanitised(clash).columns == clash.columns and privacy.sanitised(clash).count() == odd.count()
 
 
+def test_very_many_entities_in_one_text(make, monkeypatch):
+    monkeypatch.setattr(privacy, "PART", 7)
+    rng = random.Random(3)
+    texts = ["é" * rng.randint(0, 40) + "".join(f" a{k}@b.cd{'ü' * rng.randint(0, 30)}" for k in range(n)) for n in (1, 2, 3, 17, 20000)]
+    docs = make(list(enumerate(texts)))
+    kinds = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    spans = docs.select("text", privacy.base_spans(F.col("text")).alias("s"))
+    for r in spans.select("text", "s", privacy.masked(F.col("text"), F.col("s")).alias("m")).collect():
+        assert [(s["start"], s["end"]) for s in r["s"]] == [m.span() for m in kinds.finditer(r["text"])]
+        assert r["m"] == kinds.sub("[EMAIL]", r["text"])
+
+
 def test_copies_hide_no_disclosing_word(make):
     """A word in three texts with its entity, each copied 60 times, among 300 others."""
     filler = lambda i: f"plain words number{i} about things and more things"
