@@ -95,6 +95,38 @@ def user_split(s: Shapes):
     return splits.user_split(s.sessions).select(*_KEY, "split")
 
 
+def _dealt(name: str, source: str, folds: int) -> str:
+    """Users of each label dealt to and fro by falling size and hash."""
+    return f"""{name} AS (SELECT *, (b + CASE WHEN (k // {folds}) % 2 = 0 THEN k % {folds} ELSE {folds - 1} - k % {folds} END) % {folds} AS fold FROM (
+  SELECT *, row_number() OVER (PARTITION BY insider ORDER BY n DESC, md5(CAST("user" AS VARCHAR) || '-42'), "user") - 1 AS k,
+    rank() OVER (ORDER BY insider) - 1 AS b FROM {source}))"""
+
+
+_users = 'ul AS (SELECT "user", max(insider) AS insider, count(*) AS n FROM session_rows GROUP BY "user")'
+_others = 'rest AS (SELECT "user", insider, n FROM first_deal WHERE fold > 0)'
+_members = """ SELECT s."user", s.sessionid, CASE WHEN d.fold = 0 THEN 'test' WHEN v.val THEN 'val' ELSE 'train' END AS split
+FROM session_rows s JOIN first_deal d ON s."user" = d."user" LEFT JOIN v ON s."user" = v."user" """
+
+
+@query("user_fold_split", ctes(*SESSIONS, _users, _dealt("first_deal", "ul", 5), _others, _dealt("second_deal", "rest", 8),
+       'v AS (SELECT "user", fold = 0 AS val FROM second_deal)') + _members)
+def user_fold_split(s: Shapes):
+    return splits.user_fold_split(s.sessions).select(*_KEY, "split")
+
+
+@query("user_fold_split_fallback", ctes(*SESSIONS, _users, _dealt("first_deal", "ul", 5), _others,
+       "sizes AS (SELECT insider, count(*) AS c FROM rest GROUP BY 1)",
+       "seats AS (SELECT *, (SELECT sum(c) FROM sizes) AS a, (SELECT CAST(ceil(sum(c) * 0.125) AS BIGINT) FROM sizes) AS m FROM sizes)",
+       "sure AS (SELECT *, c * m // a AS f, c * m % a AS r FROM seats)",
+       """quota AS (SELECT insider, f + CASE WHEN row_number() OVER (ORDER BY r DESC, c DESC, insider) <= m - (SELECT sum(f) FROM sure)
+  THEN 1 ELSE 0 END AS q FROM sure)""",
+       """v AS (SELECT "user", row_number() OVER (PARTITION BY insider ORDER BY md5(CAST("user" AS VARCHAR) || '-42'), "user") <= q AS val
+  FROM rest JOIN quota USING (insider))""") + _members)
+def user_fold_split_fallback(s: Shapes):
+    """More validation folds than any label has users, so an eighth of them is drawn."""
+    return splits.user_fold_split(s.sessions, val_folds=1 << 40).select(*_KEY, "split")
+
+
 # --- column selection -------------------------------------------------------------------------
 
 STRICT = [c for c in ALL if c not in {*prep.SUSPECT, *prep.OPTIONAL}]

@@ -188,6 +188,20 @@ def scale_positions(df: DataFrame, train: DataFrame, vector: str, positions: Seq
     return df.withColumn("_fit", row).withColumn(vector, F.array(*[value(p) for p in range(length)])).drop("_fit")
 
 
+def scale_steps(df: DataFrame, train: DataFrame, vector: str, width: int) -> DataFrame:
+    """Standard scaling of windows (a list of ``width`` values per step), fitted per value over all steps."""
+    steps = train.select(F.explode(vector).alias("_v"))
+    fields = [m(F.col("_v")[i]).alias(f"{name}_{i}") for i in range(width) for name, m in (("mean", F.avg), ("std", F.stddev_pop))]
+    fit = F.col("_fit")
+
+    def value(v: Column, i: int) -> Column:
+        std = fit.getField(f"std_{i}")
+        return (v[i] - fit.getField(f"mean_{i}")) / F.when(std > 0, std).otherwise(1.0)
+
+    fitted = df.withColumn("_fit", steps.agg(F.struct(*fields).alias("fit")).scalar())
+    return fitted.withColumn(vector, F.transform(vector, lambda v: F.array(*[value(v, i) for i in range(width)]))).drop("_fit")
+
+
 def frequency_encode(df: DataFrame, train: DataFrame, columns: Sequence[str], floor: float = RARE_FREQUENCY) -> DataFrame:
     """Share of a value in the training part, at least ``floor``; unseen values get ``floor``.
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlens.functions.scalars import digest
 from sessionlens.operators import ordering
+from sessionlens.session import stage
 
 SESSION_AXIS = ordering.epoch_axis("starttime", "user", "sessionid")
 
@@ -58,6 +59,66 @@ def user_split(df: DataFrame, label: str = "insider", user: str = "user") -> Dat
     return df.join(members, user)
 
 
+def _ranked(users: DataFrame, label: str, axis: ordering.Axis, limit: int | None) -> DataFrame:
+    return ordering.row_index(users, [label], axis, "_rank", limit)
+
+
+def deal_folds(users: DataFrame, folds: int, label: str, user: str, size: str, limit: int | None = None) -> DataFrame:
+    """Give every user a ``fold`` so that labels and sizes are spread evenly.
+
+    The users of a label are laid by falling size and hash and dealt to and fro over the folds, so a label's users per
+    fold differ by at most one, and its rows per fold by at most its largest user's.
+    """
+    laid = users.withColumns({"_less": -F.col(size).cast("long"), "_h": digest(F.col(user))})
+    bucket = "_less * 65536 + cast(conv(substr(_h, 1, 4), 16, 10) as bigint)"
+    ranked = _ranked(laid, label, ordering.Axis(("_less", "_h", user), bucket, 1 << 16), limit)
+    # one row per label value
+    counts = users.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(label, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    at = F.col("_rank") % folds
+    turned = F.when(F.floor(F.col("_rank") / folds) % 2 == 0, at).otherwise(folds - 1 - at)
+    fold = ((F.col("_before") + turned) % folds).cast("int")  # labels begin where the ones before would go on
+    return ranked.join(F.broadcast(before), label).select(*users.columns, fold.alias("fold"))
+
+
+def proportional_draw(users: DataFrame, share_of: float, label: str, user: str, limit: int | None = None) -> DataFrame:
+    """Mark ``drawn`` for ``ceil(n * share_of)`` users by hash; labels get seats in proportion, the largest remainders first."""
+    counts = users.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy()  # one row per label value
+    seats = F.ceil(F.sum("_n").over(whole) * F.lit(share_of)).cast("long")
+    quota = counts.withColumn("_seats", seats).withColumn("_all", F.sum("_n").over(whole))
+    quota = quota.withColumn("_sure", F.floor(F.col("_n") * F.col("_seats") / F.col("_all")).cast("long"))
+    rest = F.col("_n") * F.col("_seats") - F.col("_sure") * F.col("_all")
+    quota = quota.withColumn("_more", F.row_number().over(Window.orderBy(rest.desc(), F.col("_n").desc(), label)))
+    left = F.col("_seats") - F.sum("_sure").over(whole)
+    quota = quota.select(label, (F.col("_sure") + (F.col("_more") <= left).cast("long")).alias("_quota"))
+    hashed = users.withColumn("_h", digest(F.col(user)))
+    ranked = _ranked(hashed, label, ordering.hash_axis("_h", user), limit)
+    return ranked.join(F.broadcast(quota), label).select(*users.columns, (F.col("_rank") < F.col("_quota")).alias("drawn"))
+
+
+def user_fold_split(
+    df: DataFrame, label: str = "insider", user: str = "user", test_folds: int = 5, val_folds: int = 8, limit: int | None = None
+) -> DataFrame:
+    """Whole users per part: the first of ``test_folds`` folds for test, of the others the first of ``val_folds`` for val.
+
+    Where no label is left with a user for each of the ``val_folds``, an eighth of the others is drawn for val instead,
+    by label in proportion. Users are known by their highest label and their number of rows.
+    """
+    users = df.groupBy(user).agg(F.max(label).alias(label), F.count(F.lit(1)).alias("_rows"))
+    dealt = stage(deal_folds(users, test_folds, label, user, "_rows", limit), "folds")
+    rest = dealt.where("fold > 0").drop("fold")
+    enough = rest.groupBy(label).count().agg(F.max("count").alias("n")).first()["n"]
+    if enough is not None and enough >= val_folds:
+        second = deal_folds(rest, val_folds, label, user, "_rows", limit).withColumn("val", F.col("fold") == 0)
+    else:
+        second = proportional_draw(rest, 0.125, label, user, limit).withColumnRenamed("drawn", "val")
+    parts = second.select(user, F.when(F.col("val"), "val").otherwise("train").alias("split"))
+    members = stage(parts.unionByName(dealt.where("fold = 0").select(user, F.lit("test").alias("split"))), "members")
+    return df.join(members, user)
+
+
 def split_report(split: DataFrame, label: str = "insider", user: str = "user", time: str = "starttime") -> DataFrame:
     """Rows, users, time range and label counts per part."""
     return split.groupBy("split").agg(

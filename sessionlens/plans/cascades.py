@@ -1,8 +1,8 @@
 """Session table to two-tier cascade report.
 
-Three workflows: ``flat_cascade`` works on flattened windows of session features, ``history_cascade``
+Four workflows: ``flat_cascade`` works on flattened windows of session features, ``history_cascade``
 adds history features and fills them with 0 in synthetic rows, ``gate_cascade`` puts a binary gate before
-a four-class expert and works on columns that ``skew_prepared`` selects and scales. Sizes and thresholds are parameters
+a four-class expert and works on columns that ``skew_prepared`` selects and scales, ``user_cascade`` is judged on unseen users and samples by behaviour clusters. Sizes and thresholds are parameters
 with the values of the known pipelines as defaults; a sample size above what a class holds is
 reduced to the class, so the same plan runs on small tables.
 """
@@ -42,12 +42,16 @@ def _identified(windows: DataFrame) -> DataFrame:
 
 
 def _resample(train: DataFrame, settings: Settings, raw: int | None = None) -> DataFrame:
-    """Under-sample class 0, then raise the rare classes that are below the target. A class of
-    fewer than two rows can't be raised, which is told as a warning."""
+    """Under-sample class 0, then raise the rare classes that are below the target."""
     size = F.least(F.lit(settings.benign), F.col("_n"))
     kept = train.where(F.col("y") != 0).unionByName(
         sampling.draw(train.where(F.col("y") == 0), ["y"], "id", size))
-    kept = stage(kept.select("id", "y", "features"), "resampled")
+    return _raised(stage(kept.select("id", "y", "features"), "resampled"), settings, raw)
+
+
+def _raised(kept: DataFrame, settings: Settings, raw: int | None = None) -> DataFrame:
+    """Raise the rare classes that are below the target. A class of fewer than two rows can't be raised, which is
+    told as a warning."""
     counts = {r["y"]: r["count"] for r in kept.groupBy("y").count().collect()}
     for c in (1, 2, 3):
         if counts.get(c, 0) < 2:
@@ -122,6 +126,40 @@ def history_cascade(sessions: DataFrame, settings: Settings = HISTORY, threshold
     return _reported(scored.withColumn("final", cascade.salvage_binary(F.col("pred"), two, threshold)))
 
 
+USERS = Settings(window=4, benign=50_000, weights={}, expert_weights={0: 1.0, 1: 2.0, 2: 5.0})
+
+
+def user_called(sessions: DataFrame, settings: Settings = USERS, clusters: int = 12, threshold: float = 0.1) -> DataFrame:
+    """The test windows of unseen users with ``pred`` (first tier) and ``final``.
+
+    Parts are whole users, dealt in folds by label and size. Windows bear the label of their last session and are
+    scaled per feature over all their steps. Benign training windows are drawn evenly from behaviour clusters, so
+    that rare habits stay; the rare classes are raised. Rows called 0 get the likelier of classes 2 and 3 if the
+    three-class expert finds it likely enough.
+    """
+    names = preparation.feature_columns(sessions, leakage=False)
+    split = stage(splits.user_fold_split(sessions).fillna(0, names), "split")
+    steps = stage(sequences.sequence_windows(split, names, settings.window, rule="last", keys=["split", "user"]), "steps")
+    scaled = preparation.scale_steps(steps, steps.where(F.col("split") == "train"), "features", len(names))
+    windows = stage(_identified(sequences.flatten_windows(scaled)), "windows")
+    train, test = (windows.where(F.col("split") == p) for p in ("train", "test"))
+    kept = sampling.cluster_sample(train.select("id", "y", "features"), "y", "id", "features", clusters, settings.benign)
+    balanced = stage(_raised(stage(kept.select("id", "y", "features"), "clustered"), settings), "balanced")
+    first = learners.train_multiclass(balanced, settings.weights, settings.trees, settings.depth)
+    mapping = {0: 0, 2: 1, 3: 2}
+    rest = balanced.where(F.col("y").isin(*mapping))
+    expert = learners.train_expert(rest, mapping, settings.expert_weights, trees=settings.trees, depth=settings.depth)
+    called = learners.score(first, test).withColumn("pred", argmax(F.col("p")))
+    scored = learners.score(expert, called, "e")
+    two, three = (F.coalesce(F.get("e", F.lit(i)), F.lit(0.0)) for i in (1, 2))
+    return scored.select("id", "y", "pred", cascade.salvage_max(F.col("pred"), two, three, threshold).alias("final"))
+
+
+def user_cascade(sessions: DataFrame, settings: Settings = USERS) -> DataFrame:
+    """The report of both tiers of :func:`user_called`."""
+    return _reported(stage(user_called(sessions, settings), "called"))
+
+
 @dataclass(frozen=True)
 class GateSettings:
     window: int = 5

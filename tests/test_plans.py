@@ -1,5 +1,7 @@
 """Files to session table, and the model operators."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +102,25 @@ def test_gate_cascade_reports_every_test_window(spark):
     assert (called.loc[called["suspect"] == 0, "final"] == 0).all() and called["final"].isin(range(4)).all()
     report = cascades.gate_cascade(sessions, small).toPandas()
     assert set(report["tier"]) == {"gate", "final"}
+
+
+def test_user_cascade_judges_unseen_users(spark):
+    sessions = shapes(spark, SF).sessions
+    small = replace(cascades.USERS, benign=600, synthetic=40, trees=2, depth=3)
+    called = cascades.user_called(sessions, small, clusters=3).toPandas()
+    parts = splits.user_fold_split(sessions).toPandas()
+    test = parts[parts.split == "test"]
+    assert set(called["id"] // 2**32) <= set(test["user"]) and called["id"].is_unique
+    assert len(called) == (test.groupby("user").size() - 3).clip(lower=0).sum()
+    assert (called.loc[called["pred"] != 0, "final"] == called.loc[called["pred"] != 0, "pred"]).all()
+    assert called["final"].isin(range(4)).all()
+
+
+def test_steps_are_scaled_per_feature(spark):
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(40, 3, 2)) * [5, 1] + [2, 7]
+    data[:, :, 1] = 4
+    frame = spark.createDataFrame([(v.tolist(),) for v in data], "features array<array<double>>")
+    got = np.array([r["features"] for r in preparation.scale_steps(frame, frame, "features", 2).collect()])
+    flat = data.reshape(-1, 2)
+    assert np.allclose(np.sort(got.ravel()), np.sort(((data - flat.mean(0)) / [flat[:, 0].std(), 1]).ravel()))
