@@ -114,3 +114,17 @@ def test_auc_counts_pairs_with_ties(spark, limit):
     up, down = [s for s, p in rows if p], [s for s, p in rows if not p]
     want = np.mean([(a > b) + 0.5 * (a == b) for a in up for b in down])
     assert abs(got - want) < 1e-12
+
+
+@pytest.mark.parametrize("name", ["balanced_union"])
+def test_registered_smote_leaves_classes_above_their_target(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(8)
+    labels = [1] * 430 + [2] * 380 + [3] * 20 + [0] * 30
+    rows = [(i, [float(v) for v in rng.normal(size=64)], c) for i, c in enumerate(labels)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made = entry.queries()[name](spark, str(tmp_path))
+    if name != "balanced_union":
+        made = made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("copy") >= 0).cast("int")).alias("synthetic"))
+    assert {r["label"]: (r["n"], r["synthetic"]) for r in made.collect()} == {0: (30, 0), 1: (430, 0), 2: (400, 20), 3: (450, 430)}
