@@ -116,7 +116,7 @@ def test_auc_counts_pairs_with_ties(spark, limit):
     assert abs(got - want) < 1e-12
 
 
-@pytest.mark.parametrize("name", ["smote", "balanced_union"])
+@pytest.mark.parametrize("name", ["smote", "smote_partial", "balanced_union"])
 def test_registered_smote_leaves_classes_above_their_target(spark, tmp_path, name):
     import __spark_entry__ as entry
 
