@@ -128,3 +128,25 @@ def test_registered_smote_leaves_classes_above_their_target(spark, tmp_path, nam
     if name != "balanced_union":
         made = made.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("copy") >= 0).cast("int")).alias("synthetic"))
     assert {r["label"]: (r["n"], r["synthetic"]) for r in made.collect()} == {0: (30, 0), 1: (430, 0), 2: (400, 20), 3: (450, 430)}
+
+
+def test_vectors_travel_by_bundles_and_not_by_blocks(spark, monkeypatch):
+    """Points in many dimensions, where nearly every row visits every block: a row goes to a bundle once a round."""
+    from sessionlens.operators import neighbours
+
+    x = np.random.default_rng(6).normal(size=(600, 16))
+    df = spark.createDataFrame([(i, 0, [float(v) for v in p]) for i, p in enumerate(x)], "id long, y int, x array<double>")
+    sent, plain = [], neighbours._across_blocks
+
+    def counted(visits, *rest):
+        sent.append(visits.count())
+        return plain(visits, *rest)
+
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(neighbours, "_across_blocks", counted)
+    near = {(r["id"], r["nn_rank"]): r["nn_id"] for r in neighbours.nearest_in_class(df, "y", "id", "x", 3, block_rows=10).collect()}
+    assert len(sent) <= 7 and max(sent) <= 600 * 4
+    apart = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    np.fill_diagonal(apart, np.inf)
+    order = np.argsort(apart, axis=1, kind="stable")[:, :3]
+    assert len(near) == 1800 and all(near[i, r + 1] == order[i, r] for i in range(600) for r in range(3))
