@@ -32,6 +32,8 @@ from sessionlens.llm.common import add_columns, field, mix, partitions, sifted
 from sessionlens.session import stage
 
 SEED = 42
+#: Words of a shingle of a fingerprint.
+WORDS = 3
 #: Members of a bucket that are compared with each other in one step.
 BUCKET = 1024
 #: Members of a bucket that a task holds to see whether they must be compared at all.
@@ -69,17 +71,18 @@ def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def simhash(df: DataFrame, words: int = 3, text: str = "text", name: str = "fingerprint") -> DataFrame:
+def fingerprints_of(texts: list[str | None], words: int) -> pa.Array:
+    found = [shingle_hashes(t, words) for t in texts]
+    counts = np.array([len(x) for x in found], dtype=np.int64)
+    every = np.array([h for x in found for h in x], dtype=np.uint64)
+    return pa.array(majorities(every, counts).view(np.int64), pa.int64())
+
+
+def simhash(df: DataFrame, words: int = WORDS, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """Adds the 64-bit fingerprint as a long."""
 
     def make():
-        def compute(texts):
-            found = [shingle_hashes(t, words) for t in texts.to_pylist()]
-            counts = np.array([len(x) for x in found], dtype=np.int64)
-            every = np.array([h for x in found for h in x], dtype=np.uint64)
-            return [pa.array(majorities(every, counts).view(np.int64), pa.int64())]
-
-        return compute
+        return lambda texts: [fingerprints_of(texts.to_pylist(), words)]
 
     return add_columns(df, [field(name, T.LongType())], make, text)
 
@@ -259,12 +262,14 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
 
 def signatures(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``bands`` (one key per band over the least hashes of the five-word shingles), ``sketch`` (a bit of each of
-    64 least hashes) and ``width``, the number of distinct shingles."""
+    64 least hashes), ``width``, the number of distinct shingles, and the ``fingerprint`` of :func:`simhash`; all in one pass,
+    as a second one would hold twice as many Python workers."""
 
     def make():
         def compute(texts):
             bands, sketch, width = [], [], []
-            for t in texts.to_pylist():
+            texts = texts.to_pylist()
+            for t in texts:
                 own = np.unique(np.array(shingle_hashes(t, SHINGLE), dtype=np.uint64))
                 least = least_hashes(own if len(own) else np.zeros(1, dtype=np.uint64))
                 key = np.arange(BANDS, dtype=np.uint64)
@@ -273,11 +278,13 @@ def signatures(df: DataFrame, text: str = "text") -> DataFrame:
                 bands.append(key.view(np.int64))
                 sketch.append(int(np.packbits((least[:64] & np.uint64(1)).astype(np.uint8)).view(np.int64)[0]))
                 width.append(len(own))
-            return [pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.int64()), pa.array(width, pa.int64())]
+            return [
+                pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.int64()), pa.array(width, pa.int64()), fingerprints_of(texts, WORDS)
+            ]
 
         return compute
 
-    fields = [field("bands", T.ArrayType(T.LongType())), field("sketch", T.LongType()), field("width", T.LongType())]
+    fields = [field("bands", T.ArrayType(T.LongType())), field("sketch", T.LongType()), field("width", T.LongType()), field("fingerprint", T.LongType())]
     return add_columns(df, fields, make, text)
 
 
@@ -311,18 +318,23 @@ def verified_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(node, id) of every row, and (node, root) for texts (``node``: XXH64 of the text) that five-word shingles of similarity ``ALIKE`` or more
     join to another text, directly or in a chain; ``root`` is the text of the group with the smallest id.
 
-    Copies are one node. Candidates share a band of least hashes, whatever the kind of edit: a pair of similarity 0.8
-    does with probability 1 - (1 - 0.8^4)^20 = 0.99997. First every text is verified against the first one of each of
-    its bands, which joins large groups by one pair per member and band. Then, in every band that still holds texts of
-    several components, all pairs across components are verified, so no failed check leaves a partner untried; texts
-    outside the component of the first one meet all others, and pairs inside a component are not made.
+    Copies are one node. Candidates share a class of :func:`near_duplicates`, so fingerprints, segments and links of
+    operator 6 bring them together, or a band of least hashes: a pair of similarity 0.8 has more bits apart than the links
+    allow, but shares a band, whatever the kind of edit, with probability 1 - (1 - 0.8^4)^20 = 0.99997. First every text is
+    verified against the first one of its class and of each of its bands, which joins large groups by one pair per member and
+    key. Then, in every class or band that still holds texts of several components, all pairs across components are verified,
+    so no failed check leaves a partner untried; texts outside the component of the first one meet all others, and pairs
+    inside a component are not made.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     nodes = df.select(F.xxhash64(whole).alias("node"), F.col(doc_id).alias("id"), whole.alias("text"))
-    signed_nodes = stage(signatures(nodes).select("node", "id", "bands", "sketch", "width"), "signatures")
+    kept = ("bands", "sketch", "width", "fingerprint")
+    signed_nodes = stage(signatures(nodes).select("node", "id", *kept), "signatures")
     order = F.struct(F.col("id").isNull().alias("last"), "id", "node")
-    texts = stage(signed_nodes.groupBy("node").agg(F.min(order).alias("at"), *(F.first(n).alias(n) for n in ("bands", "sketch", "width"))), "texts")
-    spread = texts.select("node", "sketch", "width", F.explode("bands").alias("key"))
+    texts = stage(signed_nodes.groupBy("node").agg(F.min(order).alias("at"), *(F.first(n).alias(n) for n in kept)), "texts")
+    classes = near_duplicates(texts, doc_id="node").select(F.col("doc_id").alias("node"), F.xxhash64(F.lit("class"), "component_id").alias("key"))
+    own = texts.select("node", "sketch", "width")
+    spread = texts.select("node", "sketch", "width", F.explode("bands").alias("key")).union(own.join(classes, "node").select(*own.columns, "key"))
     heads = stage(spread.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "heads")
     shared = sifted(spread, F.col("key"), heads.select("key")).where("_maybe").drop("_maybe")
     members = stage(shared.join(heads, "key"), "members")

@@ -145,6 +145,26 @@ def test_block_edits_near_the_limit_are_found(make):
     assert sorted(r["doc_id"] for r in got) == list(range(0, 300, 2))
 
 
+def test_candidates_of_the_corpus_come_from_linked_fingerprints(make, monkeypatch):
+    """Without any shared band: what the fingerprints of operator 6 link is verified, joined if alike, else left."""
+    signatures = near_dups.signatures
+    monkeypatch.setattr(near_dups, "signatures", lambda df: signatures(df).withColumn("bands", F.array(F.xxhash64("node", F.lit(1)))))
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    frame = " ".join(f"{a} {b} {c}" for a, b, c in [(word(), word(), word())] * 300)
+    texts = [frame + " " + " ".join(word() for _ in range(30)) for _ in range(4)]  # one fingerprint, hardly a common shingle
+    for _ in range(12):
+        base = [word() for _ in range(1500)]
+        texts += [" ".join(base), "  ".join(base).upper(), " ".join(base[:700] + [word()] + base[701:])]
+    prints = [fingerprint(t, 3) for t in texts]
+    sets = [shingles(t.lower()) for t in texts]
+    near = lambda i, j: bin(prints[i] ^ prints[j]).count("1") <= 2
+    want = groups(range(len(texts)), lambda i, j: near(i, j) and alike(sets[i], sets[j]))
+    assert near(0, 1) and want[:4] == [0, 1, 2, 3] and len(set(want[4:])) < 20
+    got = near_dups.one_of_each(make(list(enumerate(texts)))).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(want))
+
+
 def plain_templates(line):
     """The templates of a line as lists, by the rules of the module docstring, with (True, ...) for short lines."""
     dense = "".join(f"{chr(a)}-{chr(b)}" for a, b in line_templates.SPACELESS)
