@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlens.session import stage
+from sessionlens.operators.skew import sifted  # noqa: F401
 
 #: Java and Python agree on this class: what a word is made of.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,30 +36,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Bits of a sieve for each key, and at most (32 MB). Beyond that more rows pass, and the join that follows sorts them out.
-SIEVE_BITS, MOST_SIEVE_BITS = 16, 1 << 28
-#: Bits of one bitmap.
-BITMAP = 1 << 15
-
-
-def sifted(df: DataFrame, key: Column, wanted: DataFrame, name: str = "_maybe") -> DataFrame:
-    """``df`` with the boolean ``name``: true wherever ``key``, a 64-bit hash, is in the one column of ``wanted`` (a
-    written table of such hashes), and by chance for about one other row in sixteen.
-
-    The bits that the wanted keys set are broadcast, at most 32 MB whatever the number of keys, so rows that can't
-    have a partner stay out of the shuffle of a join that is too large to be broadcast itself.
-    """
-    bits = min(MOST_SIEVE_BITS, max(BITMAP, 1 << (SIEVE_BITS * wanted.count()).bit_length()))
-    slots = wanted.select(F.pmod(F.col(wanted.columns[0]), F.lit(bits)).alias("slot"))
-    slots = slots.select(F.floor(F.col("slot") / BITMAP).alias("_sieve"), (F.col("slot") % BITMAP).alias("slot"))
-    maps = stage(slots.repartition("_sieve").groupBy("_sieve").agg(F.bitmap_construct_agg("slot").alias("_sieve_bits")), "sieve")
-    slot = F.pmod(key, F.lit(bits))
-    rows = df.withColumn("_sieve_slot", slot).withColumn("_sieve", F.floor(F.col("_sieve_slot") / BITMAP))
-    byte = F.conv(F.hex(F.substring("_sieve_bits", (F.floor(F.col("_sieve_slot") % BITMAP / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = F.coalesce(F.getbit(byte, (F.col("_sieve_slot") % 8).cast("int")) == 1, F.lit(False))
-    return rows.join(F.broadcast(maps), "_sieve", "left").withColumn(name, found).select(*df.columns, name)
-
-
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the texts of a slice hold about ``most_bytes`` (one longer text stands alone)."""
     if not batch.num_rows:
