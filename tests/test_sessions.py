@@ -93,3 +93,60 @@ def test_overlaps_and_ids(trace, limit):
 def test_column_contract():
     assert len(sessions.SESSION_COLUMNS) == 128
     assert len(sessions.feature_columns()) == 98
+
+
+def test_spans_end_where_a_month_is_missing(spark):
+    """More months than a whole number has bits, gaps on either side of its border and none."""
+    from sessionlens.operators import directory
+
+    months = [f"{2000 + i // 12}-{1 + i % 12:02d}" for i in range(140)]
+    seen = {"a": range(140), "b": [3, 4, 6, 7], "c": range(50, 62), "d": range(61, 130), "e": [60, 61, 62, 64], "f": [139],
+            "g": range(10, 124), "h": [0, 62, 124], "i": range(0, 61)}
+    rnd = random.Random(3)
+    profiles = [{c: rnd.choice("xyz") for c in directory.PROFILE} for _ in range(40)]
+    rows = [(u, months[i], *rnd.choice(profiles).values()) for u, places in seen.items() for i in places for _ in range(rnd.randint(1, 2))]
+    rows.append(("n", None, *profiles[0].values()))
+    df = spark.createDataFrame(rows, "user string, month string, " + ", ".join(f"{c} string" for c in profiles[0]))
+    got = {r["user"]: (r["wstart"], r["wend"]) for r in directory.employment_span(df).collect()}
+    want = {}
+    for u, places in seen.items():
+        end = min(i for i in places if i + 1 not in places) + 1
+        want[u] = (months[min(places)], months[end] if end < 140 else None)
+    assert got == want
+    first = {r["user"]: tuple(r)[1:] for r in directory.first_profile(df).collect()}
+    for u in [*seen, "n"]:
+        assert first[u] == min((r[1] or "", r[2:]) for r in rows if r[0] == u)[1]
+
+
+def test_wide_aggregates_deal_rows_over_tasks(spark):
+    few = spark.range(50).select((F.col("id") % 7).alias("user"))
+    assert ordering.dealt(few, ["user"], 50) is few
+    n = 40 * ordering.ROWS_PER_TASK
+    assert ordering.dealt(few, ["user"], n).rdd.getNumPartitions() == 40
+
+
+def test_mails_are_grouped_only_where_an_event_names_them(spark):
+    from catalog.shapes import Shapes
+
+    s = Shapes(spark, "/root/testdata/sf0.001")
+    from sessionlens.session import stage
+
+    keys = stage(s.table("orders").where("o_orderkey % 7 = 3").select(F.col("o_orderkey").alias("_key")), "mail-keys")
+    want = s.mails.where("o_orderkey % 7 = 3")
+    got = s.sent(keys)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+
+
+def test_pca_scales_by_the_population_deviation(spark):
+    import numpy as np
+
+    from sessionlens.operators import learners
+
+    x = np.random.default_rng(5).normal(size=(60, 3)) * [1, 5, 0.1] + [0, 3, 9]
+    x = np.hstack([x, np.full((60, 1), 4.0)])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id int, features array<double>")
+    got = learners.pca_project(df, "features", 4, most=2).orderBy("id").toPandas()
+    z = (x - x.mean(0)) / np.where(x.std(0) > 0, x.std(0), 1)
+    assert np.allclose(np.array(got["features"].tolist()), z)
+    axes = np.linalg.svd(z, full_matrices=False)[2][:2]
+    assert np.allclose(np.abs(np.array(got["components"].tolist())), np.abs(z @ axes.T))
