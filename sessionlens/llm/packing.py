@@ -8,6 +8,10 @@ queue gives in constant time; sequences whose length is a power of two need no p
 power. The plan runs over stretches of ``STRETCH`` tokens: what the last sequences of a stretch hold goes into the
 next, so memory is bounded and only the end of a partition can be short.
 
+Ids are those of the tokenizers library. Where the file's rules are the known ones and all its tokens are whole
+(checked as it is loaded), distinct chunks of characters that normalisation leaves alone get the same ids from a coder
+that merges by rank, a slice at a time; all other chunks are encoded by the library and remembered.
+
 One range exchange on the ids brings neighbours together; tokens are made, cut and digested in the same task and
 never shuffled.
 
@@ -17,6 +21,7 @@ gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import deque
@@ -30,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlens.llm.bpe import byte_letters
 from sessionlens.llm.common import gather, partitions, slices
 
 WINDOW = 4096
@@ -51,10 +57,119 @@ INNER_END = "[。！？｡।؟]" + CLOSERS
 #: Chunks whose inner ends are remembered.
 INNER_REMEMBERED = 20_000
 
+#: What ``PlainCoder`` takes over from a tokenizer file: how texts are normalised, parted and closed.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SUFFIX = "</w>"
+#: Characters that normalisation leaves as they are, alone and beside each other, capitals aside: printable ones of Latin,
+#: letters of Greek, Cyrillic, kana, Han and Hangul, and their marks of punctuation.
+PLAIN = r"^[!-~\x{a1}-\x{ac}\x{ae}-\x{24f}\x{3ac}-\x{3ce}\x{430}-\x{45f}\x{2010}-\x{2027}\x{2030}-\x{203a}\x{3001}-\x{3003}\x{3008}-\x{3011}\x{3041}-\x{3094}\x{30a1}-\x{30fa}\x{30fc}\x{4e00}-\x{9fa5}\x{ac00}-\x{d7a3}\x{ff01}-\x{ff0f}\x{ff1a}-\x{ff1f}]*$"
+CAPITAL = r"[\p{Lu}\p{Lt}]"
+#: Written after each word; it isn't printable, so no plain chunk holds it.
+WORD_END = "\x01"
+
+
+def whole(merges: list[tuple[int, int]], first: int) -> bool:
+    """Whether every merged token comes about from its own letters; then any two neighbours that spell a token are its pair.
+
+    Merge k joins a pair of ids into ``first + k``. A token fails if, before its two halves are whole, others meet on
+    their border: the halves are taken apart from there, the latest merge first.
+    """
+    rank = {pair: first + k for k, pair in enumerate(merges)}
+    for made, (x, y) in enumerate(merges, first):
+        if max(x, y) >= made:
+            return False
+        until_x = until_y = made  # which merges end the tokens on both sides
+        while max(x, y) >= first:
+            if x > y:
+                until_x, x = x, merges[x - first][1]
+            else:
+                until_y, y = y, merges[y - first][0]
+            met = rank.get((x, y), made)
+            if met < until_x and met <= until_y:  # of equal pairs the left one goes first
+                return False
+    return True
+
+
+class PlainCoder:
+    """Ids of many plain chunks in one call of a coder that merges by the rank of the token made.
+
+    The end of a word is a byte of its own that the first ranks join to the byte before it.
+    """
+
+    def __init__(self, content: dict):
+        import tiktoken
+
+        vocab, letters = content["model"]["vocab"], byte_letters()
+        ranks = {bytes([b]): b for b in range(256)}
+        ranks |= {bytes([b]) + WORD_END.encode(): 256 + b for b in range(256)}
+        self.ids = np.zeros(1 + max(vocab.values()), dtype=np.uint32)
+        for c, b in letters.items():
+            self.ids[b], self.ids[256 + b] = vocab[c], vocab[c + SUFFIX]
+        for a, b in content["model"]["merges"]:
+            token = a + b
+            self.ids[vocab[token]] = vocab[token]
+            body, end = (token[: -len(SUFFIX)], WORD_END) if token.endswith(SUFFIX) else (token, "")
+            ranks[bytes(letters[c] for c in body) + end.encode()] = vocab[token]
+        self.closes = np.zeros(len(self.ids), dtype=bool)
+        self.closes[[i for token, i in ranks.items() if token.endswith(WORD_END.encode())]] = True
+        self.coder = tiktoken.Encoding("plain", pat_str=f"[^{WORD_END}]+{WORD_END}", mergeable_ranks=ranks, special_tokens={})
+        self.special = [t["content"] for t in content["added_tokens"]]
+
+    @staticmethod
+    def fits(content: dict) -> bool:
+        """Whether the rules of a tokenizer file are those that this class follows, and its tokens are whole."""
+        parts = (content.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        model = content["model"]
+        if (
+            (content.get("normalizer") or {}).get("normalizers") != NORMALIZER
+            or [p["type"] for p in parts] != ["Split", "ByteLevel"]
+            or [parts[0].get(k) for k in ("pattern", "behavior", "invert")] != [{"Regex": WORDS}, "Removed", True]
+            or [parts[1].get(k) for k in ("add_prefix_space", "use_regex")] != [False, False]
+            or [model.get(k) for k in ("type", "end_of_word_suffix")] != ["BPE", SUFFIX]
+            or any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix"))
+            or not all(isinstance(m, list) for m in model["merges"])
+        ):
+            return False
+        vocab, merges = model["vocab"], model["merges"]
+        made = [vocab[a + b] for a, b in merges]
+        letters = byte_letters()
+        mark = next(c for c, b in letters.items() if b == ord(WORD_END))
+        base = {*letters, *(c + SUFFIX for c in letters)}
+        return (
+            bool(made)
+            and made == list(range(made[0], made[0] + len(made)))
+            and made[0] >= len(base)
+            and len(vocab.keys() & base) == len(base)
+            and max(vocab[t] for t in base) < made[0]
+            and not any(mark in a or mark in b or SUFFIX in a for a, b in merges)
+            and whole([(vocab[a], vocab[b]) for a, b in merges], made[0])
+        )
+
+    def takes(self, chunks: pa.Array) -> np.ndarray:
+        """Which chunks are plain."""
+        plain = pc.and_not(pc.match_substring_regex(chunks, PLAIN), pc.match_substring_regex(chunks, CAPITAL))
+        for token in self.special:
+            plain = pc.and_not(plain, pc.match_substring(chunks, token))
+        return plain.to_numpy(zero_copy_only=False)
+
+    def encode(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks one after the other, and how many each has."""
+        several = pc.invert(pc.match_substring_regex(chunks, r"^\pL+$"))
+        parted = pc.replace_substring_regex(chunks.filter(several), f"({WORDS})", rf"\1{WORD_END}")
+        words = pc.replace_with_mask(pc.binary_join_element_wise(chunks, WORD_END, ""), several, parted)
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_py()
+        found = self.coder.encode_to_numpy(text, disallowed_special=())
+        ends = np.append(0, np.flatnonzero(self.closes[found]) + 1)  # of words
+        ends = ends[np.cumsum(pc.count_substring(words, WORD_END).to_numpy())]
+        return self.ids[found], np.diff(ends, prepend=0)
+
 
 class ChunkTokens:
     """Ids of the tokenizers library for a vocabulary that drops white space, remembered per chunk between spaces.
 
+    Plain chunks are encoded together by ``PlainCoder``, if the file allows it.
+
     Texts are put in lower case and the marks that close a word are parted from it first. The library does both
     itself, so ids stay the same, but far fewer chunks differ.
     """
@@ -67,6 +182,9 @@ class ChunkTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as file:
+            content = json.load(file)
+        self.plain = PlainCoder(content) if PlainCoder.fits(content) else None
         # ids as bytes of unsigned 32-bit numbers: small, joined at once, and no object of its own for each id
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -121,6 +239,18 @@ class ChunkTokens:
             plain = texts
         return pc.split_pattern(pc.replace_substring_regex(plain, CLOSING, r"\1 \2 "), " ")
 
+    def distinct(self, chunks: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of chunks in any order, where those of each begin and how many there are; ``end`` is the last."""
+        plain = self.plain.takes(chunks) if self.plain else np.zeros(len(chunks), dtype=bool)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain), [len(chunks)]])
+        ids, counts = self.plain.encode(chunks.filter(pa.array(plain))) if plain.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        found = [*self.learn(chunks.filter(pa.array(~plain)).to_pylist()), np.uint32(end).tobytes()]
+        sizes = np.empty(len(order), dtype=np.int64)
+        sizes[order] = np.concatenate([counts, np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4])
+        starts = np.empty_like(sizes)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate([ids, np.frombuffer(b"".join(found), dtype=np.uint32)]), starts, sizes
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``; the tokens of each text; 1 where a sentence ends after an id."""
         lists = self.chunks(texts)
@@ -129,20 +259,16 @@ class ChunkTokens:
         coded = pc.list_flatten(lists).dictionary_encode()
         codes = coded.indices.to_numpy().astype(np.int64)
         stop = np.append(pc.match_substring_regex(coded.dictionary, SENTENCE_END).to_numpy(zero_copy_only=False), True)
-        chunks = coded.dictionary.to_pylist()
-        found = self.learn(chunks)
-        found.append(np.uint32(end).tobytes())
-        codes = np.insert(codes, borders[1:], len(found) - 1)
+        flat, starts, sizes = self.distinct(coded.dictionary, end)
+        codes = np.insert(codes, borders[1:], len(sizes) - 1)
         borders = borders + np.arange(len(borders))
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        flat = np.frombuffer(b"".join(found), dtype=np.uint32)
         ends = np.cumsum(sizes[codes])
-        ids = gather(flat, np.cumsum(sizes) - sizes, sizes, codes)
+        ids = gather(flat, starts, sizes, codes)
         marks = np.zeros(len(ids), dtype=bool)
         marks[ends[stop[codes] & (sizes[codes] > 0)] - 1] = True
         several = np.flatnonzero(pc.match_substring_regex(coded.dictionary, INNER_END + ".").to_numpy(zero_copy_only=False))
         for k in several[np.isin(several, codes)].tolist():
-            inside = np.array(self.ends_inside(chunks[k]), dtype=np.int64)
+            inside = np.array(self.ends_inside(coded.dictionary[k].as_py()), dtype=np.int64)
             starts = ends[codes == k] - sizes[k]
             marks[(starts[:, None] + inside).ravel()] = True
         return ids, np.diff(np.concatenate([[0], ends])[borders]), marks

@@ -125,6 +125,75 @@ def test_every_sentence_end_is_a_cut(reference):
     assert (penalty[np.isin(cuts, np.flatnonzero(marks) + 1)] <= packing.SENTENCE_CUT).all()
 
 
+def test_plain_chunks_have_the_ids_of_the_library(reference):
+    t, own = reference("word_bpe_49k.json"), packing.ChunkTokens(tokenizer("word_bpe_49k.json"))
+    letters = [c for c in map(chr, range(0x21, 0xFFFF)) if not 0xD800 <= ord(c) < 0xE000]
+    taken = own.plain.takes(pa.array(letters))
+    kept = [c for c, k in zip(letters, taken.tolist()) if k]
+    assert {*"az09!~'éßñ。中あ가жλ"} <= set(kept) and not {*"AZÉ\x7f\u0130\u01c5\u0301\u3000\u00a0"} & set(kept)
+    rng = random.Random(7)
+    chunks = [f for c in kept for f in (c, "x" + c, c + "e", "7" + c + "'s")]
+    chunks += ["".join(rng.choices(kept, k=rng.randint(1, 12))) for _ in range(3000)]
+    chunks += ["".join(rng.choices("aehinrst'.,1", k=rng.randint(1, 40))) for _ in range(3000)]
+    chunks += ["", "'", "''s", "it's", "we'll've", "'re'd", "a1b22c", "x" * 5000, "ab" * 3000, "!" * 700, "日本語。テスト！", "(r.t.)"]
+    assert own.plain.takes(pa.array(chunks)).all()
+    ids, sizes = own.plain.encode(pa.array(chunks))
+    wanted = [e.ids for e in t.encode_batch(chunks, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_only_chunks_that_are_not_plain_go_through_the_library(reference):
+    own, asked = packing.ChunkTokens(tokenizer("word_bpe_49k.json")), []
+    call = own.call
+    own.call = lambda chunks: asked.extend(chunks) or call(chunks)
+    texts = ["Some words, some more. It's 3.14! Größe 日本語", "e\u0301 and x<|endoftext|>y", "", None, "\u0130 AB cd"]
+    for part in (texts[:1], texts):
+        ids, sizes, _ = own.encode(pa.array(part, pa.string()), 2)
+        assert ids.tolist() == [i for x in part for i in [*reference("word_bpe_49k.json").encode(x or "", add_special_tokens=False).ids, 2]]
+        assert len(part) > 1 or not asked
+    assert {"e\u0301", "x<|endoftext|>y", "AB", "\u0130"} <= set(asked) and not {"cd", "some", "and"} & set(asked)
+
+
+def test_other_rules_leave_all_chunks_to_the_library(reference, tmp_path):
+    import json
+
+    with open(tokenizer("word_bpe_49k.json"), encoding="utf-8") as file:
+        content = json.load(file)
+    assert packing.PlainCoder.fits(content)
+    content["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"[\p{L}]+|[^\s\p{L}]+"}
+    assert not packing.PlainCoder.fits(content)
+    (tmp_path / "other.json").write_text(json.dumps(content), encoding="utf-8")
+    own = packing.ChunkTokens(str(tmp_path / "other.json"))
+    assert own.plain is None
+    ids, _, _ = own.encode(pa.array(["It's 1999, don't."]), 2)
+    assert ids.tolist() == [*own.tokenizer.encode("It's 1999, don't.", add_special_tokens=False).ids, 2]
+
+
+def test_whole_finds_tokens_that_their_letters_do_not_make():
+    rng, seen = random.Random(11), set()
+    for _ in range(3000):
+        n, merges = rng.randint(1, 3), []
+        spelled = [(k,) for k in range(n)]
+        for _ in range(rng.randint(1, 5)):
+            pair = rng.randrange(len(spelled)), rng.randrange(len(spelled))
+            if spelled[pair[0]] + spelled[pair[1]] not in spelled:
+                merges.append(pair)
+                spelled.append(spelled[pair[0]] + spelled[pair[1]])
+
+        def merged(token):
+            while True:
+                known = [(merges.index(p), k) for k, p in enumerate(zip(token, token[1:])) if p in merges]
+                if not known:
+                    return token
+                made, k = min(known)
+                token = [*token[:k], n + made, *token[k + 2 :]]
+
+        wanted = all(merged(list(s)) == [i] for i, s in enumerate(spelled))
+        assert packing.whole(merges, n) == wanted, (n, merges)
+        seen.add(wanted)
+    assert seen == {True, False} and not packing.whole([(1, 2)], 1)
+
+
 def exhaustive(at, penalty, window):
     best = [0] + [None] * (len(at) - 1)
     for i in range(1, len(at)):
