@@ -150,3 +150,26 @@ def test_vectors_travel_by_bundles_and_not_by_blocks(spark, monkeypatch):
     np.fill_diagonal(apart, np.inf)
     order = np.argsort(apart, axis=1, kind="stable")[:, :3]
     assert len(near) == 1800 and all(near[i, r + 1] == order[i, r] for i in range(600) for r in range(3))
+
+
+def test_a_row_goes_to_a_bundle_once_in_all_rounds(spark, monkeypatch):
+    """Points in many dimensions: the blocks of a bundle are visited together, so no pair of row and bundle comes again in a later round."""
+    from sessionlens.operators import neighbours
+
+    x = np.random.default_rng(8).normal(size=(900, 24))
+    x[450:500] = x[400:450] + 0.01
+    df = spark.createDataFrame([(i, i % 2, [float(v) for v in p]) for i, p in enumerate(x)], "id long, y int, x array<double>")
+    sent, plain = [], neighbours._across_blocks
+
+    def counted(visits, *rest):
+        sent.extend((r["cls"], r["id"], r["bundle"]) for r in visits.select("cls", "id", "bundle").collect())
+        return plain(visits, *rest)
+
+    monkeypatch.setattr(neighbours, "_across_blocks", counted)
+    near = {(r["id"], r["nn_rank"]): (r["nn_id"], r["distance"]) for r in neighbours.nearest_in_class(df, "y", "id", "x", 4, block_rows=10).collect()}
+    assert len(sent) == len(set(sent)) and len({b for _, _, b in sent}) >= neighbours.LEAST_BUNDLES
+    apart = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+    apart[np.arange(900)[:, None] % 2 != np.arange(900) % 2] = np.inf
+    np.fill_diagonal(apart, np.inf)
+    order = np.argsort(apart, axis=1, kind="stable")[:, :4]
+    assert len(near) == 3600 and all(near[i, r + 1] == (order[i, r], apart[i, order[i, r]]) for i in range(900) for r in range(4))
