@@ -11,13 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlens.operators.skew import sifted  # noqa: F401
+from sessionlens.operators import skew
 
+#: Bits of a sieve at most (32 MB).
+MOST_SIEVE_BITS = skew.MOST_SIEVE_BITS
 #: Java and Python agree on this class: what a word is made of.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+def sifted(df: DataFrame, key: Column, wanted: DataFrame, name: str = "_maybe") -> DataFrame:
+    """``skew.sifted`` with a sieve of at most ``MOST_SIEVE_BITS``."""
+    return skew.sifted(df, key, wanted, name, MOST_SIEVE_BITS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
