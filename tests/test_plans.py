@@ -124,3 +124,22 @@ def test_steps_are_scaled_per_feature(spark):
     got = np.array([r["features"] for r in preparation.scale_steps(frame, frame, "features", 2).collect()])
     flat = data.reshape(-1, 2)
     assert np.allclose(np.sort(got.ravel()), np.sort(((data - flat.mean(0)) / [flat[:, 0].std(), 1]).ravel()))
+
+
+def test_gate_cascade_writes_windows_once(spark, monkeypatch):
+    """Windows of all parts are written once, scored where they are read; scaled sessions go straight into windows."""
+    sessions = shapes(spark, SF).sessions
+    written, plain = [], cascades.stage
+
+    def noted(df, name, *rest):
+        made = plain(df, name, *rest)
+        written.append((name, df.columns, made.count()))
+        return made
+
+    monkeypatch.setattr(cascades, "stage", noted)
+    small = cascades.GateSettings(window=3, rounds=2, gate_depth=2, trees=2, depth=3)
+    called = cascades.gate_called(sessions, small)
+    wide = {name: n for name, columns, n in written if "features" in columns}
+    assert set(wide) == {"windows", "hard"} and wide["hard"] < wide["windows"]
+    assert [name for name, *_ in written] == ["split", "windows", "hard"]
+    assert 0 < called.count() < wide["windows"]
